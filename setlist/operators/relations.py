@@ -258,7 +258,7 @@ def playlist_by_name(c: Catalog, name: str) -> DataFrame:
 
 def first_with_name_part(listing: DataFrame, part: str) -> DataFrame:
     """First listing entry whose name holds `part` (matching case)."""
-    return listing.where(F.col("name").contains(part)).orderBy("page_no", "pos").limit(1)
+    return listing.where(F.col("name").contains(part)).orderBy("page_no", "pos", "spotify_id").limit(1)
 
 
 def previewless_tracks(c: Catalog, n: int | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ words must match. There are no operators, prefixes or ranks; results come in id
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,14 +199,14 @@ def search_scan(docs: DataFrame, query: str, fields: tuple[str, ...] = FIELDS, i
         return docs.select(F.col(id_col).alias("track_id")).where(F.lit(False))
 
     def stands_in(phrase: list[str], text: Column) -> Column:
-        wanted, n = F.array(*map(F.lit, phrase)), len(phrase)
+        wanted, n = F.array(*map(F.lit, phrase)), F.lit(len(phrase))
         starts = F.when(F.size(text) >= n, F.sequence(F.lit(1), F.size(text) - n + 1))
         return F.coalesce(F.exists(starts, lambda i: F.slice(text, i, n) == wanted), F.lit(False))
 
     texts = F.array(*[tokens(F.coalesce(f, F.lit(""))) for f in fields])
     rows = docs.select(F.col(id_col).alias("track_id"), texts.alias("texts"))
     for phrase in phrases.values():
-        rows = rows.where(F.exists("texts", lambda text, phrase=phrase: stands_in(phrase, text)))
+        rows = rows.where(F.exists("texts", partial(stands_in, phrase)))
     return rows.select("track_id")
 
 

@@ -73,19 +73,28 @@ def gross_valence(rows: DataFrame) -> DataFrame:
     )
 
 
+_HALF = 2**31
+
+
+def _pair_code(first: Column, second: Column) -> Column:
+    """Two ints as one long, ordered like the pair. `mode` counts struct values wrongly."""
+    return F.shiftleft(first.cast("bigint"), 32) + second + F.lit(_HALF)
+
+
 def playlist_stats(c: Catalog) -> DataFrame:
     """A playlist's features in one row: most frequent key, mode, pair of both and time signature
     (the lowest of equally frequent ones), mean tempo, and each continuous feature times duration, summed."""
-    pair = F.when(F.col("key").isNotNull() & F.col("mode").isNotNull(), F.struct("key", "mode"))
     summary = plays_with_features(c).groupBy("playlist_id", "playlist_name").agg(
         F.mode("key", True).alias("key"),
         F.mode("mode", True).alias("mode"),
-        F.mode(pair, True).alias("_pair"),
+        F.mode(_pair_code(F.col("key"), F.col("mode")), True).alias("_pair"),
         F.avg("tempo").alias("tempo"),
         F.mode("time_signature", True).alias("time_signature"),
         *[_exact_sum(F.col(name) * F.col("duration_ms")).alias(name) for name in CONTINUOUS_FEATURES],
     )
-    return summary.withColumns({"pair_key": F.col("_pair.key"), "pair_mode": F.col("_pair.mode")}).drop("_pair")
+    pair_key = F.shiftright("_pair", 32)
+    pair_mode = F.col("_pair") - F.shiftleft(pair_key, 32) - _HALF
+    return summary.withColumns({"pair_key": pair_key.cast("int"), "pair_mode": pair_mode.cast("int")}).drop("_pair")
 
 
 def artist_track_counts(c: Catalog) -> DataFrame:

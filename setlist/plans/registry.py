@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KNOWN_UNTIL, LOADED_SINCE = "1997-01-01", "1996-01-01"
 ONE_QUERY = "small-ring artist brand"
 LISTING_MARKERS = ("SET", "Urgent")
-PLAYLIST_NAME = "Set 2-HIGH :: 1996-03-05"
+PLAYLIST_NAME = "Set 2-HIGH :: 1996-06-07"
 
 QUERIES: dict[str, Query] = {}
 
@@ -318,7 +319,7 @@ def pick_images(c: Catalog) -> DataFrame:
         "kind", "id", I.pick_image(images, 640).alias("exact_640"), I.pick_image(images, 300, min_size=1).alias("exact_300"),
         I.pick_image(images, max_size=400).alias("max_400"), I.pick_image(images, min_size=100).alias("min_100"),
         I.pick_image(images, max_size=640, min_size=100).alias("between"), I.pick_image(images, min_size=9000).alias("too_big"),
-        I.pick_image(images, max_size=0).alias("any"),
+        I.pick_image(images, max_size=0).alias("first"),
     )
 
 
@@ -394,8 +395,6 @@ def gross_valence(c: Catalog) -> DataFrame:
 
 
 def _fresh_folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 

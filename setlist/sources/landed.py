@@ -117,14 +117,14 @@ def listing_pages(c: Catalog) -> DataFrame:
 
 
 def artist_payloads(c: Catalog) -> DataFrame:
-    """Full artist payloads: without `popularity` up to 20, with a null one from 81 up."""
+    """Full artist payloads: without `popularity` up to 20 and from 60 to 70, with a null one from 81 up."""
     genres = ordered_values(
         c.artist_genre.join(c.genre.withColumnRenamed("name", "genre"), "genre_id"), "genres", ["artist_id"], "genre_id", F.col("genre")
     )
     popularity = F.when(F.col("popularity") <= 80, F.col("popularity")).alias("popularity")
     fields = [_id(), "name", _urls(), F.struct(F.col("followers").alias("total")).alias("followers"), "images", "genres"]
     return c.artist.join(genres, "artist_id", "left").select(
-        F.when(F.col("popularity") <= 20, _json(*fields)).otherwise(_json(*fields, popularity)).alias("raw"),
+        F.when((F.col("popularity") <= 20) | F.col("popularity").between(60, 70), _json(*fields)).otherwise(_json(*fields, popularity)).alias("raw"),
         F.col("artist_id").alias("load_seq"),
     )
 
@@ -173,8 +173,10 @@ def earlier_state(c: Catalog, until: str) -> Catalog:
         "playlist_id", "spotify_id", "spotify_url", F.lit("old name").alias("name"), F.lit("old").alias("description"),
         F.lit(None).cast("date").alias("date"), one_image(OLD_IMAGE).alias("images"),
     )
-    kept = c.playlist_track.join(playlist.select("playlist_id"), "playlist_id", "left_semi")
     track = c.track.where("not explicit").withColumn("name", F.concat(F.lit("old "), "name"))
+    kept = c.playlist_track.join(playlist.select("playlist_id"), "playlist_id", "left_semi").join(
+        track.select("track_id"), "track_id", "left_semi"
+    )
     artist = c.artist.where("popularity >= 50").withColumns({"name": F.upper("name"), "popularity": F.lit(7).cast("bigint")})
     album = c.album.where("popularity >= 40").withColumns({"label": F.lit("old label"), "popularity": F.lit(1).cast("bigint")})
     genre = c.genre.where("name <= 'ASIA'")
