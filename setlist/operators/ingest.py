@@ -225,30 +225,30 @@ def delete_playlists(catalog: Catalog, doomed: DataFrame) -> Catalog:
 def ingest(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df) -> tuple[Catalog, DataFrame]:
     """Load everything landed; gives the new catalogue and the rejected (track, album) pairs.
 
-    `stage` may write a finished table and hand it back read from disk, which cuts the lineage
-    of a long load; as it stands all stays lazy.
+    `stage` may write a finished table and hand it back read from disk: payloads are then parsed
+    once and the lineage of a long load is cut. As it stands all stays lazy.
     """
     items = stage("items", P.track_page_items(landed.track_pages))
     tracks = P.track_columns(items)
 
-    playlist = stage("playlist", merge_playlists(catalog.playlist, P.playlist_rows(landed.playlists)))
+    headers = stage("playlist_rows", P.playlist_rows(landed.playlists))
+    playlist = stage("playlist", merge_playlists(catalog.playlist, headers))
     track = stage("track_fields", merge_tracks(catalog.track, tracks))
     playlist_track = stage("playlist_track", replace_playlist_tracks(catalog.playlist_track, items, playlist, track))
 
-    lookups = P.track_rows(landed.tracks)
-    wanted = stage("wanted_albums", wanted_albums(track, lookups))
-    albums = P.album_rows(P.payloads_for_ids(landed.albums, wanted.select("album_key")))
+    wanted = stage("wanted_albums", wanted_albums(track, P.track_rows(landed.tracks)))
+    albums = stage("album_rows", P.album_rows(P.payloads_for_ids(landed.albums, wanted.select("album_key"))))
     album = stage("album", merge_albums(catalog.album, albums))
     filled = stage("track", fill_missing_albums(track, wanted, album, albums))
 
-    details = P.artist_rows(landed.artists)
+    details = stage("artist_rows", P.artist_rows(landed.artists))
     artist = stage("artist", merge_artists(
         catalog.artist, artist_mentions(tracks, FROM_TRACK), artist_details(details), artist_mentions(albums, FROM_ALBUM)
     ))
     track_artist = stage("track_artist", append_track_artists(catalog.track_artist, tracks, track, artist))
     album_artist = stage("album_artist", append_album_artists(catalog.album_artist, albums, album, artist))
 
-    mentions = genre_mentions(details)
+    mentions = stage("genre_mentions", genre_mentions(details))
     genre = stage("genre", merge_genres(catalog.genre, mentions))
     artist_genre = stage("artist_genre", append_artist_genres(catalog.artist_genre, mentions, artist, genre))
 
@@ -257,6 +257,6 @@ def ingest(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df)
         track_artist=track_artist, album_artist=album_artist, genre=genre, artist_genre=artist_genre,
     )
     if landed.features is not None:
-        rows = P.features_rows(landed.features)
+        rows = stage("features_rows", P.features_rows(landed.features))
         new["audio_features"] = stage("audio_features", attach_audio_features(catalog.audio_features, rows, filled))
     return catalog.with_tables(**new), album_rejects(wanted, albums)

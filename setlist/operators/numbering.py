@@ -12,25 +12,20 @@ BUCKET_DIGITS = 3
 def number_new_keys(
     new: DataFrame, key: str, id_col: str, known: DataFrame, digits: int = BUCKET_DIGITS
 ) -> DataFrame:
-    """`new` with an id after the greatest one in `known`, dense, in (bucket, key) order.
+    """`new` with ids above the greatest one in `known`.
 
-    Keys of `new` are unique. The number depends on the keys only, not on how rows lie in
-    partitions, so a recomputed task gives the same ids. Buckets are even, as they come from a
-    digest; the one-task window runs over at most 16^digits bucket sizes.
+    Keys of `new` are unique. They fall into even buckets by digest and are ranked inside their
+    bucket; bucket b hands out every 16^digits-th number. So no count of other buckets is
+    needed, rows are shuffled once, and the ids depend on the keys only: a recomputed task
+    gives the same ones. Ids are unique, not without gaps.
     """
-    bucket = F.substring(F.md5(key), 1, digits)
-    sizes = new.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_size"))
-    # the ids given so far count as one more bucket, ahead of all others
-    given = known.agg(F.lit("").alias("_bucket"), F.coalesce(F.max(id_col), F.lit(0)).alias("_size"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.unionByName(given).select(
-        "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy("_bucket").orderBy(key)
+    buckets = 16**digits
+    bucket = F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("bigint")
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    top = known.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
     return (
         new.withColumn("_bucket", bucket)
-        .withColumn("_rank", F.row_number().over(inside))
-        .join(starts, "_bucket")
-        .withColumn(id_col, F.col("_start") + F.col("_rank"))
-        .drop("_bucket", "_rank", "_start")
+        .withColumn("_nth", (rank - 1) * F.lit(buckets).cast("bigint"))
+        .withColumn(id_col, top + 1 + F.col("_bucket") + F.col("_nth"))
+        .drop("_bucket", "_nth")
     )

@@ -95,14 +95,13 @@ def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: st
     Rows of a bucket are spread by track, so that a very common token is written by several
     tasks; on reading, bucket folders are pruned and files skipped by token.
     """
-    spark = postings.sparkSession
     keyed = postings.withColumn("bucket", bucket_of(F.col("token"), buckets))
     spread = keyed.withColumn("_part", F.pmod(F.xxhash64("track_id"), F.lit(SPREAD)))
     (
         spread.repartition("bucket", "_part").sortWithinPartitions("bucket", "token").drop("_part")
         .write.mode(mode).partitionBy("bucket").parquet(path)
     )
-    return read_index(spark, path)
+    return read_index(postings.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -132,14 +131,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def _terms_of(spark: SparkSession, query: str) -> list[Row]:
     """The terms of one query text, a handful of rows."""
     one = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    return query_terms(one).withColumn("bucket", bucket_of(F.col("token"))).collect()
+    return query_terms(one).withColumn("digest", F.xxhash64("token")).collect()
 
 
-def search(postings: DataFrame, query: str) -> DataFrame:
+def search(postings: DataFrame, query: str, buckets: int = BUCKETS) -> DataFrame:
     """Ids of the tracks that match one query.
 
-    The few tokens of the query are known before the scan, so buckets and tokens are literal
-    filters. All further groups are small: they hold the places of one phrase in one track.
+    The few tokens of the query are known before the scan, so buckets (as many as the index was
+    written with) and tokens are literal filters. All further groups are small: they hold the places of one phrase in one track.
     """
     terms = _terms_of(postings.sparkSession, query)
     if not terms:
@@ -148,7 +147,7 @@ def search(postings: DataFrame, query: str) -> DataFrame:
     wanted = sorted({t.token for t in terms})
     hits = postings.where(F.col("token").isin(wanted))
     if "bucket" in postings.columns:
-        hits = hits.where(F.col("bucket").isin(sorted({t.bucket for t in terms})))
+        hits = hits.where(F.col("bucket").isin(sorted({t.digest % buckets for t in terms})))
 
     places = F.array(*[
         F.struct(F.lit(t.token).alias("token"), F.lit(t.word_no).alias("word_no"),

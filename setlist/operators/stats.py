@@ -10,12 +10,13 @@ from setlist.functions import bins
 from setlist.operators.relations import plays_with_features
 from setlist.schema import CONTINUOUS_FEATURES
 
-# Sums of feature x duration are kept exact, so that they do not depend on the order of rows.
-EXACT = "decimal(38,6)"
+# Sums of feature x duration are taken over whole millionths, so they do not depend on the order of rows.
+MILLION = 1_000_000
 
 
 def _exact_sum(value: Column) -> Column:
-    return F.coalesce(F.sum(value.cast(EXACT)).cast("double"), F.lit(0.0))
+    millionths = F.round(value * MILLION).cast("bigint").cast("decimal(20,0)")
+    return F.coalesce(F.sum(millionths).cast("double") / MILLION, F.lit(0.0))
 
 
 def track_plays(c: Catalog) -> DataFrame:

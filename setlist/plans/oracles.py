@@ -151,8 +151,10 @@ VIEWS: dict[str, str] = {
 
 
 def _numbered(keys: str, key: str) -> str:
-    """Keys with the number a new key gets on top of the ids already given."""
-    return f"select {key}, row_number() over (order by substring(md5({key}), 1, 3), {key}) as n from ({keys})"
+    """Keys with the number a new key gets on top of the ids already given: bucket b hands out b + 1, b + 4097, ..."""
+    return f"""
+        select {key}, 1 + b + 4096 * (row_number() over (partition by b order by {key}) - 1) as n
+        from (select {key}, cast('0x' || substring(md5({key}), 1, 3) as bigint) as b from ({keys}))"""
 
 
 def _profile(table: str, column: str) -> str:
@@ -336,7 +338,7 @@ _BODIES: dict[str, str] = {
     "tracks_missing_album": "select * from track where album_id is null",
     "previewless_tracks": "select * from track where preview_url is null",
     "previewless_tracks_head": "select * from track where preview_url is null order by track_id limit 10",
-    "playlist_by_name": "select playlist_id, spotify_id, name, date from playlist where name = 'Set 2-HIGH :: 1996-06-07'",
+    "playlist_by_name": "select playlist_id, spotify_id, name, date from playlist where name = 'Set 2-HIGH :: 1996-06-06'",
     "playlist_name_contains": "select spotify_id, name from listing where name like '%1996-06%' order by r, spotify_id limit 1",
     "display_labels": """
         select 'playlist' as kind, playlist_id as id, name || ' (Playlist)' as label from playlist

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from setlist.operators.sinks import written_stage
 from setlist.plans import pages
 from setlist.session import shared_dir, tune
 from setlist.sources import landed, payloads, tables
-from setlist.sources.binding import bound_catalog
+from setlist.sources.binding import bound_catalog, driver_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +25,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # those dated LOADED_SINCE or later, so one year is loaded again.
 KNOWN_UNTIL, LOADED_SINCE = "1997-01-01", "1996-01-01"
 ONE_QUERY = "small-ring artist brand"
+INDEX_BUCKETS = 8
 LISTING_MARKERS = ("SET", "Urgent")
-PLAYLIST_NAME = "Set 2-HIGH :: 1996-06-07"
+PLAYLIST_NAME = "Set 2-HIGH :: 1996-06-06"
 
 QUERIES: dict[str, Query] = {}
 
@@ -65,7 +67,7 @@ for _name in ("playlist_track", "track", "genre", "audio_features", "track_artis
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return driver_table(spark, sf_dir, "part")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,46 +123,57 @@ def _before(c: Catalog) -> Catalog:
     return landed.earlier_state(c, KNOWN_UNTIL)
 
 
-@query
-def merge_playlists(c: Catalog) -> DataFrame:
-    return _no_images(ingest.merge_playlists(_before(c).playlist, payloads.playlist_rows(landed.playlist_payloads(c))))
+def _once(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Parsed payload rows, written so that the merge does not parse them again for each use."""
+    return written_stage(spark)("rows", rows)
 
 
-def _track_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+@raw_query
+def merge_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
-    return payloads.track_rows(landed.track_payloads(c, landed.album_keys(_parts(spark, sf_dir))))
+    rows = _once(spark, payloads.playlist_rows(landed.playlist_payloads(c)))
+    return _no_images(ingest.merge_playlists(_before(c).playlist, rows))
+
+
+def _track_rows(spark: SparkSession, c: Catalog, sf_dir: str) -> DataFrame:
+    return _once(spark, payloads.track_rows(landed.track_payloads(c, landed.album_keys(_parts(spark, sf_dir)))))
+
+
+def _artist_rows(spark: SparkSession, c: Catalog) -> DataFrame:
+    return _once(spark, payloads.artist_rows(landed.artist_payloads(c)))
 
 
 @raw_query
 def merge_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
-    return ingest.merge_tracks(_before(c).track, _track_rows(spark, sf_dir))
+    return ingest.merge_tracks(_before(c).track, _track_rows(spark, c, sf_dir))
 
 
 @raw_query
 def append_track_artist_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
-    return ingest.append_track_artists(_before(c).track_artist, _track_rows(spark, sf_dir), c.track, c.artist)
+    return ingest.append_track_artists(_before(c).track_artist, _track_rows(spark, c, sf_dir), c.track, c.artist)
 
 
 @raw_query
 def merge_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
-    mentions = ingest.artist_mentions(_track_rows(spark, sf_dir), ingest.FROM_TRACK)
-    details = ingest.artist_details(payloads.artist_rows(landed.artist_payloads(c)))
+    mentions = ingest.artist_mentions(_track_rows(spark, c, sf_dir), ingest.FROM_TRACK)
+    details = ingest.artist_details(_artist_rows(spark, c))
     return _no_images(ingest.merge_artists(_before(c).artist, mentions, details))
 
 
-@query
-def merge_genres(c: Catalog) -> DataFrame:
-    rows = payloads.artist_rows(landed.artist_payloads(c))
-    return ingest.merge_genres(_before(c).genre, ingest.genre_mentions(rows))
+@raw_query
+def merge_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bound_catalog(spark, sf_dir)
+    return ingest.merge_genres(_before(c).genre, ingest.genre_mentions(_artist_rows(spark, c)))
 
 
-@query
-def append_artist_genres(c: Catalog) -> DataFrame:
-    before, rows = _before(c), payloads.artist_rows(landed.artist_payloads(c))
-    return ingest.append_artist_genres(before.artist_genre, ingest.genre_mentions(rows), c.artist, c.genre)
+@raw_query
+def append_artist_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bound_catalog(spark, sf_dir)
+    mentions = ingest.genre_mentions(_artist_rows(spark, c))
+    return ingest.append_artist_genres(_before(c).artist_genre, mentions, c.artist, c.genre)
 
 
 @query
@@ -168,14 +181,16 @@ def artists_to_refresh(c: Catalog) -> DataFrame:
     return ingest.artists_to_refresh(c, c.playlist.where(F.col("date") >= LOADED_SINCE))
 
 
-@query
-def merge_albums(c: Catalog) -> DataFrame:
-    return _no_images(ingest.merge_albums(_before(c).album, payloads.album_rows(landed.album_payloads(c))))
+@raw_query
+def merge_albums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bound_catalog(spark, sf_dir)
+    rows = _once(spark, payloads.album_rows(landed.album_payloads(c)))
+    return _no_images(ingest.merge_albums(_before(c).album, rows))
 
 
 def _wanted(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame, DataFrame]:
     c = bound_catalog(spark, sf_dir)
-    wanted = ingest.wanted_albums(c.track, _track_rows(spark, sf_dir))
+    wanted = ingest.wanted_albums(c.track, _track_rows(spark, c, sf_dir))
     arrived = payloads.album_rows(payloads.payloads_for_ids(landed.album_payloads(c), wanted.select("album_key")))
     return c, wanted, arrived
 
@@ -192,15 +207,17 @@ def album_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.album_rejects(wanted, arrived)
 
 
-@query
-def attach_audio_features(c: Catalog) -> DataFrame:
-    rows = payloads.features_rows(landed.features_payloads(c))
+@raw_query
+def attach_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bound_catalog(spark, sf_dir)
+    rows = _once(spark, payloads.features_rows(landed.features_payloads(c)))
     return ingest.attach_audio_features(_before(c).audio_features, rows, c.track)
 
 
-@query
-def patch_images(c: Catalog) -> DataFrame:
-    rows = payloads.playlist_rows(landed.playlist_payloads(c))
+@raw_query
+def patch_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bound_catalog(spark, sf_dir)
+    rows = _once(spark, payloads.playlist_rows(landed.playlist_payloads(c)))
     return _no_images(ingest.patch_images(_before(c).playlist, rows))
 
 
@@ -217,8 +234,12 @@ def remove_at_position(c: Catalog) -> DataFrame:
 
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame]:
     c = bound_catalog(spark, sf_dir)
+    stage = written_stage(spark)
     load = landed.landed_load(c, _parts(spark, sf_dir), LOADED_SINCE)
-    return ingest.ingest(_before(c), load, written_stage(spark))
+    files = {f.name: stage(f"landed_{f.name}", getattr(load, f.name)) for f in fields(load)}
+    before = _before(c)
+    known = {name: stage(f"known_{name}", before.table(name)) for name in ("playlist", "playlist_track", "track", "artist")}
+    return ingest.ingest(before.with_tables(**known), ingest.Landed(**files), stage)
 
 
 @raw_query
@@ -399,7 +420,11 @@ def _fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def _index(spark: SparkSession, c: Catalog) -> DataFrame:
-    return search.write_index(search.search_postings(search.search_docs(c)), _fresh_folder(spark, "index"))
+    return search.write_index(search.search_postings(search.search_docs(c)), _fresh_folder(spark, "index"), INDEX_BUCKETS)
+
+
+def _one_search(spark: SparkSession, c: Catalog) -> DataFrame:
+    return search.search(_index(spark, c), ONE_QUERY, INDEX_BUCKETS)
 
 
 @query
@@ -418,7 +443,7 @@ def search_index_increment(c: Catalog) -> DataFrame:
 @raw_query
 def search_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
-    return search.matching_tracks(c, search.search(_index(spark, c), ONE_QUERY))
+    return search.matching_tracks(c, _one_search(spark, c))
 
 
 @query
@@ -439,7 +464,7 @@ def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("track_id"), "text")
+    return driver_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("track_id"), "text")
 
 
 @raw_query
@@ -451,8 +476,8 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold all words of a benchmark passage, for every passage."""
     postings = search.search_postings(_documents(spark, sf_dir), ("text",))
-    index = search.write_index(postings, _fresh_folder(spark, "documents"))
-    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = search.write_index(postings, _fresh_folder(spark, "documents"), INDEX_BUCKETS)
+    asked = driver_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.search_many(index, asked).select("query_id", F.col("track_id").alias("doc_id"))
 
 
@@ -461,8 +486,8 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dates_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: every ship date (some without a playlist) and every priority (no date at all)."""
-    days = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.date_format("l_shipdate", "yyyy-M-d").alias("date_str"))
-    words = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("date_str"))
+    days = driver_table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-M-d").alias("date_str"))
+    words = driver_table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("date_str"))
     return days.unionByName(words).distinct()
 
 
@@ -479,10 +504,10 @@ def sorted_tracks(c: Catalog) -> DataFrame:
 @raw_query
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
-    return pages.search_page(c, search.search(_index(spark, c), ONE_QUERY))
+    return pages.search_page(c, _one_search(spark, c))
 
 
 @raw_query
 def search_page_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
-    return pages.search_page_playlists(c, search.search(_index(spark, c), ONE_QUERY))
+    return pages.search_page_playlists(c, _one_search(spark, c))

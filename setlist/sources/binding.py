@@ -39,9 +39,26 @@ def _no_images() -> Column:
     return F.array().cast(IMAGES)
 
 
+# Columns of the driver's tables that the binding uses; a declared schema saves a look into the files.
+DRIVER_TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+    "supplier": "s_suppkey bigint, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "documents": "doc_id bigint, text string",
+    "benchmark": "item_id bigint, text string",
+}
+
+
+def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(DRIVER_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def bound_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return driver_table(spark, sf_dir, name)
 
     def playlist() -> DataFrame:
         key = _text("o_orderkey")
