@@ -79,6 +79,15 @@ def ordered_values(
     return sliced.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["_values"])).alias(out))
 
 
+def join_keeping_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left outer join for a right side in which one key may hold a large share of the rows.
+
+    Spark splits a skewed right side of an inner join only, so partnerless rows come apart.
+    """
+    lonely = left.join(right.select(key).distinct(), key, "left_anti")
+    return left.join(right, key).unionByName(lonely, allowMissingColumns=True)
+
+
 def joined_text(values: Column, separator: str) -> Column:
     """Values joined by a separator; null when there are none."""
     return F.when(F.size(values) > 0, F.array_join(values, separator))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from setlist.catalog import Catalog
 from setlist.functions import labels as L
-from setlist.operators.groups import joined_text, ordered_values, position_block, positions
+from setlist.operators.groups import join_keeping_left, joined_text, ordered_values, position_block, positions
 from setlist.schema import FEATURE_COLUMNS, TABLES
 
 
@@ -65,11 +65,9 @@ def track_flat(c: Catalog, strict: bool = False) -> DataFrame:
 
 def playlist_tracks_outer(c: Catalog) -> DataFrame:
     """Every playlist with its tracks and their artists, kept also where there are none."""
-    return (
-        c.playlist.select("playlist_id", F.col("name").alias("playlist_name"))
-        .join(c.playlist_track, "playlist_id", "left")
-        .join(c.track_artist, "track_id", "left")
-        .select("playlist_id", "playlist_name", "sequence", "track_id", "artist_id")
+    lists = c.playlist.select("playlist_id", F.col("name").alias("playlist_name"))
+    return join_keeping_left(lists, c.playlist_track, "playlist_id").join(c.track_artist, "track_id", "left").select(
+        "playlist_id", "playlist_name", "sequence", "track_id", "artist_id"
     )
 
 
@@ -167,27 +165,28 @@ def playlist_as_df(
     with_artist = c.track_artist.select("track_id", "artist_id").join(
         c.artist.select("artist_id", F.col("name").alias("artist")), "artist_id"
     )
-    playable = c.track.select("track_id", "name", "duration_ms").join(
-        with_artist.select("track_id"), "track_id", "left_semi"
-    )
-    plays = (
-        c.playlist_track.alias("pt")
-        .join(playable.alias("t"), F.col("pt.track_id") == F.col("t.track_id"))
-        .join(af.alias("af"), F.col("af.track_id") == F.col("t.track_id"))
-        .join(c.playlist.alias("p"), F.col("p.playlist_id") == F.col("pt.playlist_id"))
+    playable = c.track.select("track_id", "name").join(with_artist.select("track_id"), "track_id", "left_semi")
+
+    # earliest play per track first: from there on there is one row per track, not per play
+    plays = c.playlist_track.join(c.playlist.select("playlist_id", "date"), "playlist_id")
+    per_track = plays.groupBy("track_id").agg(F.min(F.struct("date", "playlist_id", "sequence")).alias("_play"))
+    options = per_track.join(playable, "track_id").join(af.select("track_id", "features_id"), "track_id")
+    first = options.groupBy("name").agg(
+        F.min_by(F.struct("_play.playlist_id", "track_id", "features_id"), F.struct("_play", "features_id")).alias("_at")
     )
-    shown = [F.col("p.date"), F.col("p.name").alias("playlist_name"), F.col("p.playlist_id"), F.col("t.duration_ms")]
-    projected = plays.select(
-        F.col("t.name").alias("name"),
-        F.struct("p.date", "p.playlist_id", "pt.sequence", "af.features_id").alias("_order"),
-        F.struct(*shown, *feature_projection(columns)).alias("_row"),
+    at = first.select("name", "_at.*").alias("at")
+    shown = [F.col("p.date"), F.col("p.name").alias("playlist_name"), F.col("p.playlist_id"), F.col("t.name"), F.col("t.duration_ms")]
+    chosen = (
+        at.join(c.track.alias("t"), F.col("at.track_id") == F.col("t.track_id"))
+        .join(af.alias("af"), F.col("at.features_id") == F.col("af.features_id"))
+        .join(c.playlist.alias("p"), F.col("at.playlist_id") == F.col("p.playlist_id"))
+        .select(*shown, *feature_projection(columns))
     )
-    first = projected.groupBy("name").agg(F.min_by("_row", "_order").alias("_row"))
 
     n_features = af.groupBy("track_id").agg(F.count("*").alias("_n_features"))
     n_plays = c.playlist_track.join(c.playlist.select("playlist_id"), "playlist_id", "left_semi")
-    per_track = n_plays.groupBy("track_id").agg(F.count("*").alias("_n_plays")).join(n_features, "track_id")
-    named = with_artist.join(per_track, "track_id").join(c.track.select("track_id", "name"), "track_id")
+    weights = n_plays.groupBy("track_id").agg(F.count("*").alias("_n_plays")).join(n_features, "track_id")
+    named = with_artist.join(weights, "track_id").join(c.track.select("track_id", "name"), "track_id")
     runs = named.groupBy("name", "artist_id", "artist").agg(F.sum(F.col("_n_plays") * F.col("_n_features")).alias("times"))
     value = F.col("artist")
     if not distinct_artists:
@@ -195,12 +194,9 @@ def playlist_as_df(
     texts = ordered_values(runs, "names", ["name"], "artist_id", value).select(
         F.col("name").alias("_name"), joined_text(F.col("names"), ";").alias("artist")
     )
-    joined = first.join(texts, F.col("name").eqNullSafe(F.col("_name")))
-    row_type = first.schema["_row"].dataType
-    rest = [F.col("_row")[f.name].alias(f.name) for f in row_type.fields if f.name not in ("date", "playlist_name", "playlist_id", "duration_ms")]
-    return joined.select(
-        "_row.date", "_row.playlist_name", "_row.playlist_id", "name", "artist", "_row.duration_ms", *rest
-    )
+    joined = chosen.join(texts, F.col("name").eqNullSafe(F.col("_name"))).drop("_name")
+    front = ["date", "playlist_name", "playlist_id", "name", "artist", "duration_ms"]
+    return joined.select(*front, *[column for column in chosen.columns if column not in front])
 
 
 # --- pairs ---------------------------------------------------------------------------------------

@@ -18,9 +18,8 @@ from setlist.operators.groups import joined_text, ordered_values
 from setlist.operators.stats import track_plays
 
 FIELDS = ("artist", "track", "album")
-# Folders of the stored index, and files a folder is spread over (a common token fills one folder).
+# Folders of the stored index.
 BUCKETS = 64
-SPREAD = 16
 
 
 # --- documents -------------------------------------------------------------------------------
@@ -92,13 +91,12 @@ def bucket_of(token: Column, buckets: int = BUCKETS) -> Column:
 def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> DataFrame:
     """Store the index by token bucket, sorted by token within files, and read it back.
 
-    Rows of a bucket are spread by track, so that a very common token is written by several
-    tasks; on reading, bucket folders are pruned and files skipped by token.
+    The rebalance splits a bucket that a very common token blows up into several tasks and
+    files; on reading, bucket folders are pruned and files skipped by token.
     """
     keyed = postings.withColumn("bucket", bucket_of(F.col("token"), buckets))
-    spread = keyed.withColumn("_part", F.pmod(F.xxhash64("track_id"), F.lit(SPREAD)))
     (
-        spread.repartition("bucket", "_part").sortWithinPartitions("bucket", "token").drop("_part")
+        keyed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
         .write.mode(mode).partitionBy("bucket").parquet(path)
     )
     return read_index(postings.sparkSession, path)

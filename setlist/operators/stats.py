@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from setlist.catalog import Catalog
 from setlist.functions import bins
-from setlist.operators.relations import plays_with_features
 from setlist.schema import CONTINUOUS_FEATURES
 
 # Sums of feature x duration are taken over whole millionths, so they do not depend on the order of rows.
@@ -15,7 +14,7 @@ MILLION = 1_000_000
 
 
 def _exact_sum(value: Column) -> Column:
-    millionths = F.round(value * MILLION).cast("bigint").cast("decimal(20,0)")
+    millionths = F.rint(value * MILLION).cast("bigint").cast("decimal(20,0)")
     return F.coalesce(F.sum(millionths).cast("double") / MILLION, F.lit(0.0))
 
 
@@ -65,11 +64,23 @@ def top_genres(c: Catalog, n: int = 50) -> DataFrame:
     return genre_track_counts(c).orderBy(F.desc("tracks"), "genre").limit(n)
 
 
-def gross_valence(rows: DataFrame) -> DataFrame:
-    """Valence weighted by duration, summed per playlist name; needs those three columns."""
-    weighed = rows.where("playlist_name is not null").withColumn("gross_valence", F.col("valence") * F.col("duration_ms"))
+def _plays_of_tracks(c: Catalog, *features: str) -> DataFrame:
+    """(playlist_id, duration_ms, features) of each played track that has features."""
+    tracks = c.track.select("track_id", "duration_ms").join(c.audio_features.select("track_id", *features), "track_id")
+    return c.playlist_track.select("playlist_id", "track_id").join(tracks, "track_id").drop("track_id")
+
+
+def gross_valence(c: Catalog) -> DataFrame:
+    """Valence weighted by duration, summed per playlist name.
+
+    Sums are taken per playlist before its name comes in, so plays are not shuffled for the name.
+    """
+    weight = (F.rint(F.col("valence") * F.col("duration_ms") * MILLION)).cast("bigint").cast("decimal(20,0)")
+    per_list = _plays_of_tracks(c, "valence").groupBy("playlist_id").agg(F.sum(weight).alias("weight"))
+    names = c.playlist.where("name is not null").select("playlist_id", F.col("name").alias("playlist_name"))
+    total = F.coalesce(F.sum("weight").cast("double") / MILLION, F.lit(0.0))
     return (
-        weighed.groupBy("playlist_name").agg(_exact_sum(F.col("gross_valence")).alias("gross_valence"))
+        per_list.join(names, "playlist_id").groupBy("playlist_name").agg(total.alias("gross_valence"))
         .orderBy(F.desc("gross_valence"), "playlist_name")
     )
 
@@ -85,7 +96,8 @@ def _pair_code(first: Column, second: Column) -> Column:
 def playlist_stats(c: Catalog) -> DataFrame:
     """A playlist's features in one row: most frequent key, mode, pair of both and time signature
     (the lowest of equally frequent ones), mean tempo, and each continuous feature times duration, summed."""
-    summary = plays_with_features(c).groupBy("playlist_id", "playlist_name").agg(
+    plays = _plays_of_tracks(c, "key", "mode", "tempo", "time_signature", *CONTINUOUS_FEATURES)
+    summary = plays.groupBy("playlist_id").agg(
         F.mode("key", True).alias("key"),
         F.mode("mode", True).alias("mode"),
         F.mode(_pair_code(F.col("key"), F.col("mode")), True).alias("_pair"),
@@ -95,7 +107,9 @@ def playlist_stats(c: Catalog) -> DataFrame:
     )
     pair_key = F.shiftright("_pair", 32)
     pair_mode = F.col("_pair") - F.shiftleft(pair_key, 32) - _HALF
-    return summary.withColumns({"pair_key": pair_key.cast("int"), "pair_mode": pair_mode.cast("int")}).drop("_pair")
+    pair = {"pair_key": pair_key.cast("int"), "pair_mode": pair_mode.cast("int")}
+    names = c.playlist.select("playlist_id", F.col("name").alias("playlist_name"))
+    return summary.withColumns(pair).drop("_pair").join(names, "playlist_id")
 
 
 def artist_track_counts(c: Catalog) -> DataFrame:

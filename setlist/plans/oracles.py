@@ -171,6 +171,10 @@ _SONG_COLUMNS = "t.track_id, t.spotify_id, t.name, t.duration_ms, t.explicit, t.
 _BODIES: dict[str, str] = {
     # scans and landed payloads
     "scan_catalog": " union all ".join(_profile(t, c) for t, c in _IDS.items()),
+    "natural_key_duplicates": " union all ".join(
+        f"select '{t}' as table_name, {k} as natural_key, count(*) as n_rows from {t} group by {k} having count(*) > 1"
+        for t, k in {"playlist": "spotify_id", "artist": "spotify_id", "track": "spotify_id", "album": "spotify_id", "genre": "name"}.items()
+    ),
     "scan_playlist": "select * exclude (image_url) from playlist",
     **{f"scan_{t}": f"select * from {t}" for t in _IDS if t != "playlist"},
     "explode_track_pages": """

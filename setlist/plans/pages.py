@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from setlist.catalog import Catalog
 from setlist.functions import images as I
 from setlist.functions import labels as L
-from setlist.operators.groups import ordered_values
+from setlist.operators.groups import join_keeping_left, ordered_values
 from setlist.operators.relations import one_features_row, track_artist_names
 from setlist.schema import CONTINUOUS_FEATURES
 
@@ -69,7 +69,7 @@ def playlist_page(c: Catalog, requests: DataFrame) -> DataFrame:
     )
     wanted = found.select("playlist_id").dropna().distinct()
     plays = c.playlist_track.join(wanted, "playlist_id", "left_semi").join(track_cells(c), "track_id")
-    return found.join(plays, "playlist_id", "left").orderBy("date", "playlist_id", "sequence")
+    return join_keeping_left(found, plays, "playlist_id").orderBy("date", "playlist_id", "sequence")
 
 
 def artist_page(c: Catalog, spotify_ids: DataFrame | None = None) -> DataFrame:

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from setlist.catalog import Catalog
 from setlist.functions import images as I
 from setlist.operators import genres, ingest, relations, search, stats, timeline
-from setlist.operators.groups import positions
+from setlist.operators.groups import join_keeping_left, positions
 from setlist.operators.sinks import written_stage
 from setlist.plans import pages
 from setlist.session import shared_dir, tune
 from setlist.sources import landed, payloads, tables
 from setlist.sources.binding import bound_catalog, driver_table
+from setlist.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +61,11 @@ def scan_catalog(c: Catalog) -> DataFrame:
     ])
 
 
+@query
+def natural_key_duplicates(c: Catalog) -> DataFrame:
+    return tables.natural_key_duplicates(c)
+
+
 for _name in ("playlist", "artist", "album"):
     QUERIES[f"scan_{_name}"] = lambda spark, sf_dir, name=_name: _no_images(bound_catalog(tune(spark), sf_dir).table(name))
 for _name in ("playlist_track", "track", "genre", "audio_features", "track_artist", "artist_genre", "album_artist", "album_track"):
@@ -71,7 +77,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.track_pages(bound_catalog(spark, sf_dir), landed.album_keys(_parts(spark, sf_dir)))
+    pages_ = landed.track_pages(bound_catalog(spark, sf_dir), landed.album_keys(_parts(spark, sf_dir)))
+    return written_stage(spark)("landed_track_pages", pages_)
 
 
 @raw_query
@@ -224,7 +231,7 @@ def patch_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def delete_playlist(c: Catalog) -> DataFrame:
     after = ingest.delete_playlists(c, c.playlist.where(F.col("date") < KNOWN_UNTIL))
-    return after.playlist.select("playlist_id", "name").join(after.playlist_track, "playlist_id", "left")
+    return join_keeping_left(after.playlist.select("playlist_id", "name"), after.playlist_track, "playlist_id")
 
 
 @query
@@ -249,7 +256,7 @@ def ingest_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = after.track.select("track_id", F.col("spotify_id").alias("track_key"), F.col("name").alias("track"), "album_id")
     albums = after.album.select("album_id", F.col("spotify_id").alias("album_key"))
     return (
-        lists.join(after.playlist_track, "playlist_id", "left").join(songs, "track_id", "left").join(albums, "album_id", "left")
+        join_keeping_left(lists, after.playlist_track, "playlist_id").join(songs, "track_id", "left").join(albums, "album_id", "left")
         .select("playlist_key", "name", "date", "sequence", "track_key", "track", "album_key")
     )
 
@@ -271,10 +278,10 @@ def latest_listing_entry(c: Catalog) -> DataFrame:
 def ingest_all_order(c: Catalog) -> DataFrame:
     """Listing entries oldest first, with the order in which they load."""
     listing = payloads.filter_listing(_listing(c), *LISTING_MARKERS).select(
-        "spotify_id", "name", (F.col("page_no") * landed.LISTING_PAGE_SIZE + F.col("pos")).alias("listing_pos"), F.lit(0).alias("all")
+        "spotify_id", "name", (F.col("page_no") * landed.LISTING_PAGE_SIZE + F.col("pos")).alias("listing_pos"), "owner"
     )
     placed = positions(
-        listing, "load_seq", ["all"], [F.desc("listing_pos")], [-F.floor(F.col("listing_pos") / 4096)]
+        listing, "load_seq", ["owner"], [F.desc("listing_pos")], [-F.floor(F.col("listing_pos") / 4096)]
     )
     return placed.select("spotify_id", "name", "listing_pos", "load_seq").orderBy("load_seq")
 
@@ -288,7 +295,7 @@ for _make in (
     relations.track_flat, relations.feature_records, relations.tracks_missing_album, relations.display_labels,
     search.search_doc_rows, search.track_artist_runs, search.track_artist_concat, search.search_docs,
     stats.artist_play_counts, stats.top_artists, stats.artists_min_plays, stats.play_count_histogram,
-    stats.genre_track_counts, stats.top_genres, stats.playlist_stats, stats.artist_track_counts, stats.energy_histogram,
+    stats.genre_track_counts, stats.top_genres, stats.gross_valence, stats.playlist_stats, stats.artist_track_counts, stats.energy_histogram,
     genres.genre_canonical, genres.genre_links_repointed, genres.genre_repair_report, genres.genre_names,
     pages.playlist_index, pages.artist_page, pages.artist_page_tracks, pages.artist_page_albums, pages.genre_page,
 ):
@@ -364,7 +371,7 @@ def flat_strict(c: Catalog) -> DataFrame:
 
 @query
 def flat_head(c: Catalog) -> DataFrame:
-    return timeline.flat_head(timeline.timeline(c)).select("date", "playlist_id", "sequence", "track_id", "name", "start_time_ms")
+    return timeline.flat_head(c).select("date", "playlist_id", "sequence", "track_id", "name", "start_time_ms")
 
 
 @query
@@ -375,7 +382,7 @@ def flat_count(c: Catalog) -> DataFrame:
 
 @query
 def flat_by_track_name(c: Catalog) -> DataFrame:
-    flat = timeline.flat_by_track_name(timeline.timeline(c), "small ring")
+    flat = timeline.flat_by_track_name(c, "small ring")
     return flat.select("playlist_id", "sequence", "track_id", "name", "artists", "start_time_ms")
 
 
@@ -407,11 +414,6 @@ def timeline_json_parsed(c: Catalog) -> DataFrame:
     return arrays.select("playlist_id", F.posexplode(records).alias("pos", "r")).select("playlist_id", "pos", "r.*")
 
 
-@query
-def gross_valence(c: Catalog) -> DataFrame:
-    return stats.gross_valence(relations.plays_with_features(c))
-
-
 # --- search ------------------------------------------------------------------------------------------------
 
 
@@ -464,7 +466,7 @@ def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return driver_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("track_id"), "text")
+    return spread(driver_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("track_id"), "text")
 
 
 @raw_query

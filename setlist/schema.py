@@ -46,6 +46,12 @@ TABLES: dict[str, T.StructType] = {
     "album_track": fields(album_id=LONG, track_id=LONG),
 }
 
+# Surrogate id and natural key of the entity tables.
+ENTITY_KEYS = {
+    "playlist": ("playlist_id", "spotify_id"), "artist": ("artist_id", "spotify_id"), "track": ("track_id", "spotify_id"),
+    "album": ("album_id", "spotify_id"), "genre": ("genre_id", "name"),
+}
+
 URLS = fields(spotify=STRING)
 SIMPLE_ARTIST = fields(id=STRING, name=STRING, external_urls=URLS)
 PLAYLIST_PAYLOAD = fields(id=STRING, name=STRING, description=STRING, owner=STRING, images=IMAGES, external_urls=URLS)

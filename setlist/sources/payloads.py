@@ -19,6 +19,8 @@ from setlist.schema import (
 )
 
 PAGES_PER_BLOCK = 1024
+# Enough of a page to count its items; the parser skips all else.
+BARE_PAGE = "items array<struct<href:string>>"
 
 
 LANDED = "raw string, load_seq bigint, playlist_key string, page_no bigint, owner string"
@@ -88,7 +90,8 @@ def track_page_items(pages: DataFrame) -> DataFrame:
     row per page), not over tracks.
     """
     items = F.from_json("raw", TRACK_PAGE)["items"]
-    slim = pages.select("playlist_key", "load_seq", "page_no", F.size(items).alias("n_items"))
+    bare = F.from_json("raw", BARE_PAGE)["items"]
+    slim = pages.select("playlist_key", "load_seq", "page_no", F.size(bare).alias("n_items"))
     placed = running_total(
         pages.select("playlist_key", "load_seq", "page_no", items.alias("items"), F.size(items).alias("n_items")),
         "before", F.col("n_items"), ["playlist_key", "load_seq"], [F.col("page_no")],
