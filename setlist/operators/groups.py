@@ -79,12 +79,16 @@ def ordered_values(
     return sliced.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["_values"])).alias(out))
 
 
-def join_keeping_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def join_keeping_left(
+    left: DataFrame, right: DataFrame, key: str, right_keys: DataFrame | None = None
+) -> DataFrame:
     """Left outer join for a right side in which one key may hold a large share of the rows.
 
     Spark splits a skewed right side of an inner join only, so partnerless rows come apart.
+    `right_keys` may name a cheaper frame with the keys of `right`.
     """
-    lonely = left.join(right.select(key).distinct(), key, "left_anti")
+    keys = (right if right_keys is None else right_keys).select(key).distinct()
+    lonely = left.join(keys, key, "left_anti")
     return left.join(right, key).unionByName(lonely, allowMissingColumns=True)
 
 

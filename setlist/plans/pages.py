@@ -52,11 +52,12 @@ def sorted_tracks(c: Catalog, column: str, descending: bool = False) -> DataFram
     return track_cells(c).orderBy(order, "track_id")
 
 
-def playlist_page(c: Catalog, requests: DataFrame) -> DataFrame:
+def playlist_page(c: Catalog, requests: DataFrame, ordered: bool = True) -> DataFrame:
     """Playlists and their track table for requested dates (`date_str`).
 
     `status` is `ok`, `not found` (no playlist that day) or `invalid` (no date); the latter two
-    have one row without a playlist.
+    have one row without a playlist. For a large batch of dates `ordered=False` saves the sort
+    of everything; `sequence` still gives the order on each page.
     """
     asked = requests.select("date_str", L.path_date(F.col("date_str")).alias("date")).distinct()
     lists = c.playlist.select(
@@ -68,8 +69,10 @@ def playlist_page(c: Catalog, requests: DataFrame) -> DataFrame:
         F.when(F.col("date").isNull(), "invalid").when(F.col("playlist_id").isNull(), "not found").otherwise("ok"),
     )
     wanted = found.select("playlist_id").dropna().distinct()
-    plays = c.playlist_track.join(wanted, "playlist_id", "left_semi").join(track_cells(c), "track_id")
-    return join_keeping_left(found, plays, "playlist_id").orderBy("date", "playlist_id", "sequence")
+    plays = c.playlist_track.join(wanted, "playlist_id", "left_semi")
+    with_tracks = plays.join(c.track.select("track_id"), "track_id", "left_semi")
+    page = join_keeping_left(found, plays.join(track_cells(c), "track_id"), "playlist_id", with_tracks)
+    return page.orderBy("date", "playlist_id", "sequence") if ordered else page
 
 
 def artist_page(c: Catalog, spotify_ids: DataFrame | None = None) -> DataFrame:
@@ -93,11 +96,12 @@ def _first_artists(c: Catalog, spotify_ids: DataFrame | None) -> DataFrame:
     return artist.join(first, ["artist_id", "spotify_id"], "left_semi")
 
 
-def artist_page_tracks(c: Catalog, spotify_ids: DataFrame | None = None) -> DataFrame:
-    """Track table of an artist's page."""
+def artist_page_tracks(c: Catalog, spotify_ids: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    """Track table of an artist's page; `ordered=False` as for `playlist_page`."""
     artist = _first_artists(c, spotify_ids).select("artist_id", "spotify_id")
     links = c.track_artist.distinct().join(artist, "artist_id")
-    return links.join(track_cells(c), "track_id").orderBy("artist_id", "track_id")
+    page = links.join(track_cells(c), "track_id")
+    return page.orderBy("artist_id", "track_id") if ordered else page
 
 
 def artist_page_albums(c: Catalog, spotify_ids: DataFrame | None = None) -> DataFrame:

@@ -297,7 +297,7 @@ for _make in (
     stats.artist_play_counts, stats.top_artists, stats.artists_min_plays, stats.play_count_histogram,
     stats.genre_track_counts, stats.top_genres, stats.gross_valence, stats.playlist_stats, stats.artist_track_counts, stats.energy_histogram,
     genres.genre_canonical, genres.genre_links_repointed, genres.genre_repair_report, genres.genre_names,
-    pages.playlist_index, pages.artist_page, pages.artist_page_tracks, pages.artist_page_albums, pages.genre_page,
+    pages.playlist_index, pages.artist_page, pages.artist_page_albums, pages.genre_page,
 ):
     query(_make)
 
@@ -495,7 +495,12 @@ def _dates_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @raw_query
 def playlist_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.playlist_page(bound_catalog(spark, sf_dir), _dates_asked(spark, sf_dir))
+    return pages.playlist_page(bound_catalog(spark, sf_dir), _dates_asked(spark, sf_dir), ordered=False)
+
+
+@query
+def artist_page_tracks(c: Catalog) -> DataFrame:
+    return pages.artist_page_tracks(c, ordered=False)
 
 
 @query
