@@ -67,12 +67,13 @@ def ordered_values(
     """Array of the non-null values of each key, in order of a (within the key unique) numeric id.
 
     Values are gathered per (key, id range) first: such a slice holds at most `size` ids,
-    however many rows the key has; the second step only puts finished slices in order.
+    however many rows the key has and however often one is repeated; the second step only puts
+    finished slices in order.
     """
     sliced = (
         rows.withColumn("_slice", F.floor(F.col(id_col) / size))
         .groupBy(*keys, "_slice")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), value.alias("value")))).alias("_pairs"))
+        .agg(F.array_sort(F.collect_set(F.struct(F.col(id_col).alias("id"), value.alias("value")))).alias("_pairs"))
         .select(*keys, "_slice", F.filter(F.col("_pairs.value"), lambda v: v.isNotNull()).alias("_values"))
     )
     parts = F.array_sort(F.collect_list(F.struct("_slice", "_values")))

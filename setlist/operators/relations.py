@@ -20,7 +20,7 @@ def one_features_row(c: Catalog) -> DataFrame:
 
 def track_artist_names(c: Catalog, separator: str = ", ") -> DataFrame:
     """`track_id` and the names of its artists in one text."""
-    named = c.track_artist.distinct().join(c.artist.select("artist_id", "name"), "artist_id")
+    named = c.track_artist.join(c.artist.select("artist_id", "name"), "artist_id")
     names = ordered_values(named, "names", ["track_id"], "artist_id", F.col("name"))
     return names.select("track_id", F.array_join("names", separator).alias("artists"))
 

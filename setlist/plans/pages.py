@@ -78,7 +78,7 @@ def playlist_page(c: Catalog, requests: DataFrame, ordered: bool = True) -> Data
 def artist_page(c: Catalog, spotify_ids: DataFrame | None = None) -> DataFrame:
     """Head of an artist's page: picture, popularity, followers, genres. One row per natural id."""
     artist = _first_artists(c, spotify_ids)
-    linked = c.artist_genre.distinct()
+    linked = c.artist_genre
     if spotify_ids is not None:
         linked = linked.join(artist, "artist_id", "left_semi")
     genres = ordered_values(linked.join(c.genre.withColumnRenamed("name", "genre"), "genre_id"), "genres", ["artist_id"], "genre_id", F.col("genre"))
@@ -118,9 +118,8 @@ def genre_page(c: Catalog, names: DataFrame | None = None) -> DataFrame:
     if names is not None:
         genre = genre.join(names.select("name"), "name", "left_semi")
     first = genre.groupBy("name").agg(F.min("genre_id").alias("genre_id")).withColumnRenamed("name", "genre")
-    links = c.artist_genre.distinct()
-    members = links.join(first, "genre_id").select("genre", "artist_id")
-    theirs = links.join(members.select("artist_id").distinct(), "artist_id", "left_semi")
+    members = c.artist_genre.join(first, "genre_id").select("genre", "artist_id").distinct()
+    theirs = c.artist_genre.join(members.select("artist_id").distinct(), "artist_id", "left_semi")
     genres = ordered_values(
         theirs.join(c.genre.select("genre_id", F.col("name").alias("genre")), "genre_id"), "genres", ["artist_id"], "genre_id", F.col("genre")
     )
