@@ -42,13 +42,14 @@ def running_total(
     totals = (totals_from or rows).withColumns(cut).groupBy(*keys).agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    how = "left"  # every block has a start; Spark drops a left join whose columns nobody reads
     if group_info is not None:
-        starts = starts.join(group_info, group)
+        starts, how = starts.join(group_info, group), "inner"
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumns(cut)
         .withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(starts, keys)
+        .join(starts, keys, how)
         .withColumn(out, F.col("_start") + F.col("_inside"))
         .drop(*names, "_inside", "_start")
     )

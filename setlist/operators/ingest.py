@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from setlist.catalog import Catalog
 from setlist.functions.labels import title_date
-from setlist.operators.merge import append_missing, fold_by_key, merge_by_key, present
+from setlist.operators.merge import Hold, append_missing, fold_by_key, merge_by_key, present
 from setlist.operators.numbering import number_new_keys
 from setlist.schema import FEATURE_COLUMNS, TABLES
 from setlist.sources import payloads as P
@@ -39,14 +39,18 @@ class Landed:
     features: DataFrame | None = None
 
 
+def _lazy(df: DataFrame) -> DataFrame:
+    return df
+
+
 # --- headers -----------------------------------------------------------------------------
 
 
-def merge_playlists(playlist: DataFrame, rows: DataFrame) -> DataFrame:
+def merge_playlists(playlist: DataFrame, rows: DataFrame, hold: Hold = _lazy) -> DataFrame:
     """Name, description and url always overwrite; images if the key is there, date if the name has one."""
     dated = rows.withColumn("date", title_date(F.col("name"))).withColumn(present("date"), F.col("date").isNotNull())
     return merge_by_key(
-        playlist, dated, "spotify_id", "playlist_id", ["name", "description", "spotify_url"], ["images", "date"]
+        playlist, dated, "spotify_id", "playlist_id", ["name", "description", "spotify_url"], ["images", "date"], hold=hold
     )
 
 
@@ -59,9 +63,9 @@ def patch_images(playlist: DataFrame, rows: DataFrame) -> DataFrame:
 # --- tracks ------------------------------------------------------------------------------
 
 
-def merge_tracks(track: DataFrame, rows: DataFrame) -> DataFrame:
+def merge_tracks(track: DataFrame, rows: DataFrame, hold: Hold = _lazy) -> DataFrame:
     """All mapped track fields overwrite; the album stays as it is."""
-    return merge_by_key(track, rows, "spotify_id", "track_id", TRACK_FIELDS)
+    return merge_by_key(track, rows, "spotify_id", "track_id", TRACK_FIELDS, hold=hold)
 
 
 def with_track_ids(rows: DataFrame, track: DataFrame, key: str) -> DataFrame:
@@ -106,7 +110,7 @@ def artist_details(rows: DataFrame) -> DataFrame:
     return rows.withColumn("load_order", F.struct("load_seq", F.lit(FROM_ARTIST).alias("phase"))).drop("load_seq")
 
 
-def merge_artists(artist: DataFrame, *sources: DataFrame) -> DataFrame:
+def merge_artists(artist: DataFrame, *sources: DataFrame, hold: Hold = _lazy) -> DataFrame:
     """Name and url always overwrite; popularity, followers and images if the key is there."""
     optional = ["popularity", "followers", "images"]
     types = {f.name: f.dataType for f in TABLES["artist"]}
@@ -120,7 +124,7 @@ def merge_artists(artist: DataFrame, *sources: DataFrame) -> DataFrame:
     first, *rest = map(shaped, sources)
     for more in rest:
         first = first.unionByName(more)
-    return merge_by_key(artist, first, "spotify_id", "artist_id", ["name", "spotify_url"], optional, "load_order")
+    return merge_by_key(artist, first, "spotify_id", "artist_id", ["name", "spotify_url"], optional, "load_order", hold)
 
 
 def artists_to_refresh(catalog: Catalog, playlists: DataFrame | None = None) -> DataFrame:
@@ -154,10 +158,10 @@ def append_artist_genres(artist_genre: DataFrame, mentions: DataFrame, artist: D
 # --- albums --------------------------------------------------------------------------------
 
 
-def merge_albums(album: DataFrame, rows: DataFrame) -> DataFrame:
+def merge_albums(album: DataFrame, rows: DataFrame, hold: Hold = _lazy) -> DataFrame:
     """Name, images and the url made from the id overwrite; label and popularity if the key is there."""
     return merge_by_key(
-        album, rows, "spotify_id", "album_id", ["name", "images", "spotify_url"], ["label", "popularity"]
+        album, rows, "spotify_id", "album_id", ["name", "images", "spotify_url"], ["label", "popularity"], hold=hold
     )
 
 
@@ -228,22 +232,26 @@ def ingest(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df)
     `stage` may write a finished table and hand it back read from disk: payloads are then parsed
     once and the lineage of a long load is cut. As it stands all stays lazy.
     """
+    def folded(name: str) -> Hold:
+        return lambda df: stage(f"{name}_folded", df)
+
     items = stage("items", P.track_page_items(landed.track_pages))
     tracks = P.track_columns(items)
 
     headers = stage("playlist_rows", P.playlist_rows(landed.playlists))
-    playlist = stage("playlist", merge_playlists(catalog.playlist, headers))
-    track = stage("track_fields", merge_tracks(catalog.track, tracks))
+    playlist = stage("playlist", merge_playlists(catalog.playlist, headers, folded("playlist")))
+    track = stage("track_fields", merge_tracks(catalog.track, tracks, folded("track")))
     playlist_track = stage("playlist_track", replace_playlist_tracks(catalog.playlist_track, items, playlist, track))
 
     wanted = stage("wanted_albums", wanted_albums(track, P.track_rows(landed.tracks)))
     albums = stage("album_rows", P.album_rows(P.payloads_for_ids(landed.albums, wanted.select("album_key"))))
-    album = stage("album", merge_albums(catalog.album, albums))
+    album = stage("album", merge_albums(catalog.album, albums, folded("album")))
     filled = stage("track", fill_missing_albums(track, wanted, album, albums))
 
     details = stage("artist_rows", P.artist_rows(landed.artists))
     artist = stage("artist", merge_artists(
-        catalog.artist, artist_mentions(tracks, FROM_TRACK), artist_details(details), artist_mentions(albums, FROM_ALBUM)
+        catalog.artist, artist_mentions(tracks, FROM_TRACK), artist_details(details), artist_mentions(albums, FROM_ALBUM),
+        hold=folded("artist"),
     ))
     track_artist = stage("track_artist", append_track_artists(catalog.track_artist, tracks, track, artist))
     album_artist = stage("album_artist", append_album_artists(catalog.album_artist, albums, album, artist))

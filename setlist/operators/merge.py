@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setlist.operators.numbering import number_new_keys
 
+Hold = Callable[[DataFrame], DataFrame]
+
 
 def present(name: str) -> str:
     """Name of the source column that tells whether the payload had this key."""
@@ -42,15 +46,17 @@ def merge_by_key(
     always: list[str],
     if_present: list[str] = (),
     order: str = "load_seq",
+    hold: Hold = lambda df: df,
 ) -> DataFrame:
     """Upsert `source` into `target` on a natural key.
 
     `always` columns are overwritten by the last payload; `if_present` columns by the last
     payload that had the key (an explicit null counts, an absent key does not). Keys new to
-    the target get the next surrogate ids.
+    the target get the next surrogate ids. The folded source is used twice, for updates and for
+    new rows; `hold` may write it and read it back, so that it is folded once.
     """
     if_present = list(if_present)
-    news = fold_by_key(source, key, always, if_present, order)
+    news = hold(fold_by_key(source, key, always, if_present, order))
 
     t, n = target.alias("t"), news.alias("n")
     matched = F.col(f"n.{key}").isNotNull()
