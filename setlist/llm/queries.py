@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import exact_dedup, line_dedup
+from setlist.llm import exact_dedup, line_dedup, secrets, url_filter
 from setlist.session import tune
 
 
@@ -27,8 +27,32 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+# The contract's rules (host, path).
+ALLOW_RULES = [("org", "/"), ("com", "/fr/")]
+BLOCK_RULES = [("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/")]
+# The blocked hosts of the production list; subdomains are blocked with them.
+BLOCKED_HOSTS = [
+    f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    for top in ("com", "net", "org")
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), ALLOW_RULES, BLOCK_RULES, BLOCKED_HOSTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op5_secrets": op5_secrets,
+    "op7_url_filter": op7_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -46,6 +70,18 @@ ORACLES: dict[str, str] = {
         select doc_id, count(*)::bigint as n_lines, (count(*) filter (gone))::bigint as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
         from marked group by doc_id""",
+    "op7_url_filter": r"""
+        with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+        rules(h, p, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                                        ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        best as (select page_id, host, path, max_by(h || p, length(h || p)) as rule, max_by(verdict, length(h || p)) as ruled
+                 from u left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+                 group by page_id, host, path)
+        select page_id, host, path, rule, coalesce(ruled, case when regexp_matches(host,
+               '^(.*[.])?(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$')
+               then 'block' else 'allow' end) as verdict from best""",
     "op10_exact_dedup": rf"""
         with n as (select doc_id, length(coalesce(text, '')) as n_chars,
                           sha256(regexp_replace(coalesce(text, ''), '{_WS}', '', 'g')) as text_sha256 from documents)
