@@ -27,7 +27,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Documents that lose lines: doc_id, doc_hash, n_dropped, dropped (array of 64-bit words, bit i = line i)."""
-    exploded = _texts(docs, id_col, text_col).select("doc_id", "doc_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    exploded = _texts(docs, id_col, text_col).select("doc_id", "doc_hash", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = exploded.select("doc_id", "doc_hash", "pos", F.btrim(ascii_lower(F.col("line")), F.lit(SPACES)).alias("key"))
     lines = written(
         keyed.where(F.char_length("key") >= min_chars)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import exact_dedup, line_dedup, secrets, url_filter
+from setlist.llm import decontaminate, exact_dedup, line_dedup, mixing, secrets, url_filter
 from setlist.session import tune
 
 
@@ -35,6 +35,16 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
+# Target weights of the production mixture; any other source has weight 1.
+SOURCE_WEIGHTS: dict[str | None, float] = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
+MIX_SEED = 17
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = mixing.mixed(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, seed=MIX_SEED)
+    return copies.select("doc.doc_id", "doc.source", "copy", "n_copies")
+
+
 # The contract's rules (host, path).
 ALLOW_RULES = [("org", "/"), ("com", "/fr/")]
 BLOCK_RULES = [("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/")]
@@ -49,10 +59,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), ALLOW_RULES, BLOCK_RULES, BLOCKED_HOSTS)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
     "op7_url_filter": op7_url_filter,
+    "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -70,6 +87,21 @@ ORACLES: dict[str, str] = {
         select doc_id, count(*)::bigint as n_lines, (count(*) filter (gone))::bigint as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
         from marked group by doc_id""",
+    # Poisson probabilities are summed from 0 up, as the operator does; rates here stay below its step.
+    "op4_mixing": r"""
+        with recursive sizes as (select source, sum(greatest(1, length(coalesce(text, ''))))::double as size,
+            case source when 'src0' then 4.0 when 'src1' then 2.0 when 'src2' then 2.0 when 'src3' then 0.5 else 1.0 end::double as weight
+            from documents group by source),
+        rates as (select source, weight / (select sum(weight) from sizes) * (select sum(size) from sizes) / size as rate from sizes),
+        p(source, rate, k, prob, below) as (
+            select source, rate, 0, exp(-rate), exp(-rate) from rates
+            union all select source, rate, k + 1, prob * rate / (k + 1), below + prob * rate / (k + 1) from p
+            where k + 1 <= ceil(rate + 12 * sqrt(rate) + 40)),
+        u as (select doc_id, source, ('0x' || substr(md5(concat_ws('|', '17', '1', coalesce(doc_id::varchar, 'null'),
+                     md5(coalesce(text, '')))), 1, 13))::bigint / 4503599627370496.0::double as u from documents),
+        n as (select u.doc_id, u.source, min(p.k)::integer as n_copies from u join p on u.source is not distinct from p.source and p.below > u.u
+              group by u.doc_id, u.source, u.u)
+        select doc_id, source, unnest(generate_series(0, n_copies - 1))::integer as copy, n_copies from n where n_copies > 0""",
     "op7_url_filter": r"""
         with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
