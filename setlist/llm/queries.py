@@ -10,14 +10,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import decontaminate, exact_dedup, line_dedup, mixing, secrets, url_filter
+from setlist.llm import decontaminate, exact_dedup, html_main, language_id, line_dedup, mixing, secrets, url_filter
 from setlist.session import tune
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Arrow batches of few rows keep tasks that run Python within memory when texts are long.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language_id.learn_profiles(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict_languages(docs.select("doc_id", "text"), profiles)
+    return found.select("doc.doc_id", language_id.held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -65,9 +78,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
+    "op6_html_main": op6_html_main,
     "op7_url_filter": op7_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
