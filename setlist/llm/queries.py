@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import decontaminate, exact_dedup, html_main, language_id, line_dedup, mixing, secrets, url_filter
+from setlist.llm import decontaminate, exact_dedup, html_main, jaccard_join, language_id, line_dedup, mixing, secrets, url_filter
 from setlist.session import tune
 
 
@@ -72,6 +72,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), ALLOW_RULES, BLOCK_RULES, BLOCKED_HOSTS)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_html_main": op6_html_main,
     "op7_url_filter": op7_url_filter,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
