@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import decontaminate, exact_dedup, html_main, jaccard_join, language_id, line_dedup, mixing, secrets, url_filter
+from setlist.llm import decontaminate, exact_dedup, html_main, jaccard_join, language_id, line_dedup, lm_score, mixing, secrets, url_filter
 from setlist.session import tune
 
 
@@ -27,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", language_id.held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(_table(spark, sf_dir, "documents"), lm_score.held_out(F.col("doc_id")))
+
+
 def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -84,6 +88,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_lm_score": op2_lm_score,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
