@@ -14,38 +14,38 @@ from setlist.llm import decontaminate, exact_dedup, html_main, jaccard_join, lan
 from setlist.session import tune
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Arrow batches of few rows keep tasks that run Python within memory when texts are long.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     profiles = language_id.learn_profiles(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.predict_languages(docs.select("doc_id", "text"), profiles)
     return found.select("doc.doc_id", language_id.held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_texts(_table(spark, sf_dir, "documents"), lm_score.held_out(F.col("doc_id")))
+    return lm_score.score_texts(table(spark, sf_dir, "documents"), lm_score.held_out(F.col("doc_id")))
 
 
 def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.extract_main_text(_table(spark, sf_dir, "pages"))
+    return html_main.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.without_repeated_lines(_table(spark, sf_dir, "documents"))
+    kept = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
@@ -58,7 +58,7 @@ MIX_SEED = 17
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = mixing.mixed(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, seed=MIX_SEED)
+    copies = mixing.mixed(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, seed=MIX_SEED)
     return copies.select("doc.doc_id", "doc.source", "copy", "n_copies")
 
 
@@ -73,16 +73,16 @@ BLOCKED_HOSTS = [
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), ALLOW_RULES, BLOCK_RULES, BLOCKED_HOSTS)
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), ALLOW_RULES, BLOCK_RULES, BLOCKED_HOSTS)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
 
 
