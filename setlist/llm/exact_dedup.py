@@ -45,7 +45,8 @@ def _grouped(digest: DataFrame) -> DataFrame:
         F.count("*").alias("group_size"),
         F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best"),
     )
-    # A hot digest is on the left of an inner join with unique keys, which AQE splits.
+    # Written, so that both sides of the join are exchanged for it and AQE can split a hot digest.
+    groups = written(groups, "exact-groups")
     decided = possible.join(groups, "sha").select(
         "doc_id", "row_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("best.row_id")).alias("kept"), "sha",
