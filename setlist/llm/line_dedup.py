@@ -40,9 +40,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .sortWithinPartitions("h1", "h2", F.col("doc_id").desc(), "pos")
         .groupBy("h1", "h2", "doc_id", "doc_hash").agg(F.collect_set("pos").alias("positions"))
     )
-    keys = (
+    # Written, so that both sides of the next join are exchanged for it and AQE can split a hot line.
+    keys = written(
         runs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        .where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+        .where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"),
+        "repeated-lines",
     )
     losing = (
         runs.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
