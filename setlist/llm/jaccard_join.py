@@ -19,6 +19,11 @@ hash: passages that many documents share rank last and give few keys.
 Size bands. W depends on the band of the set's size (a factor of 16 wide); a set near enough to a
 limit to be linked across it emits keys in both bands.
 
+Filter. A second sketch has one bit per token hash, two to four bits per shingle, folded to the
+narrower one for a pair of unlike sizes. Its Hamming distance is a lower bound of the symmetric
+difference as well, so a pair whose bits differ in more places than its sizes allow goes before any
+set is fetched. Keys that only one set has are left out by a two-pass Bloom filter of bounded size.
+
 Groups. Equal sets become one class first. For the sets that share a key, in rounds: each is
 compared with the key's first set only, and then those known to be in one component are seen as
 one. What is left, pairs that share a key in different components, is compared in full, so no
@@ -44,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import with_row_id, written
+from setlist.llm.common import bloom_segments, filter_bits, maybe_member, with_row_id, written
 from setlist.llm.components import connected
 from setlist.llm.hashing import U64, mix, pieces, shingle_hashes, word_hashes
 
@@ -142,37 +147,80 @@ def sketch_keys(shingles: np.ndarray, commonness: np.ndarray, percent: int) -> n
     return np.unique(np.concatenate(keys))
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Parity sketch: words of 64 bits, a power of two of them, two to four bits per shingle."""
+    words = 1
+    while words * 32 < len(shingles):
+        words *= 2
+    place = mix(shingles + U64(0x6A09E667F3BCC909)) & U64(words * 64 - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sketches(docs: DataFrame, commonness: np.ndarray, size: int, percent: int) -> DataFrame:
-    """row_id, doc_id, n_shingles, set hashes h1 and h2, keys."""
+    """row_id, doc_id, n_shingles, set hashes h1 and h2, keys, bits (the parity sketch)."""
     shared = docs.sparkSession.sparkContext.broadcast(commonness)  # one byte per cell
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2, keys, bits = [], [], [], [], []
             for _, s in _sets(_bytes(batch.column("text")), size):
                 n.append(len(s))
                 h1.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                 h2.append(int(np.add.reduce(mix(s ^ U64(0x2545F4914F6CDD1D))).view(np.int64)) if len(s) else 0)
                 keys.append(sketch_keys(s, shared.value, percent).view(np.int64) if len(s) else np.empty(0, dtype=np.int64))
+                bits.append(parity_bits(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["row_id", "doc_id", "n_shingles", "h1", "h2", "keys"])
+                [batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["row_id", "doc_id", "n_shingles", "h1", "h2", "keys", "bits"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("row_id", "doc_id", "text").mapInArrow(
-        sketch, f"row_id long, doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>")
+        sketch, f"row_id long, doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, bits array<long>")
+
+
+def _close(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and parity sketches allow."""
+    side = lambda name: sketched.select(F.col("row_id").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("bits").alias(f"bits_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # The narrower sketch is at least half as wide: sizes differ by less than a factor of two.
+    wide, narrow = F.greatest(F.size("bits_a"), F.size("bits_b")), F.least(F.size("bits_a"), F.size("bits_b"))
+    fold = lambda bits: F.when(F.size(bits) > F.col("narrow"), F.zip_with(
+        F.slice(bits, F.lit(1), F.col("narrow")), F.slice(bits, F.col("narrow") + 1, F.col("narrow")), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(bits))
+    differ = F.aggregate(
+        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    return (
+        both.where(wide <= narrow * 2).withColumn("narrow", narrow)
+        .select("a", "b", "na", "nb", fold("bits_a").alias("x"), fold("bits_b").alias("y"))
+        .where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    )
 
 
-def _verify(pairs: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; `shingled` has rep and shingles."""
-    left = pairs.join(shingled.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(shingled.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity, from the whole texts of the documents in question."""
+    pairs = written(pairs, f"jaccard-pairs-{name}")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    bits = filter_bits(2 * pairs.count())
+    segments = written(bloom_segments(wanted, "row_id", bits, 2), f"jaccard-wanted-{name}")
+    asked = maybe_member(texts.select("row_id", "text"), "row_id", segments, bits, 2, "asked").where("asked").select("row_id", "text")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for _, s in _sets(_bytes(batch.column("text")), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(sets, pa.list_(pa.int64()))], ["row_id", "shingles"])
+
+    sets = written(asked.mapInArrow(shingle, "row_id long, shingles array<long>"), f"jaccard-sets-{name}")
+    left = pairs.join(sets.select(F.col("row_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(sets.select(F.col("row_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.where(common * (100 + percent) >= (F.size("sa") + F.size("sb")).cast("long") * percent).select("a", "b")
+    linked = both.where(common * (100 + percent) >= (F.size("sa") + F.size("sb")).cast("long") * percent).select("a", "b")
+    return written(linked, f"jaccard-links-{name}")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = 2,
+    max_filter_bits: int = 1 << 31,
 ) -> DataFrame:
     """One row per row of docs: row_id, doc_id, n_shingles, component_id, first_row (the row that stands for the component)."""
     texts = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
@@ -180,29 +228,31 @@ def near_duplicates(
 
     # Classes of equal sets; the class is named by its first row. Empty sets stand alone.
     full = sketched.where("n_shingles > 0")
-    classes = written(full.groupBy("n_shingles", "h1", "h2").agg(F.min("row_id").alias("rep")), "jaccard-classes")
-    reps = classes.select("rep", F.col("n_shingles").alias("n"))
-    keyed = full.join(reps, F.col("row_id") == F.col("rep"), "left_semi").select(
-        F.col("row_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    # Only keys that meet another set matter. Counting is by partial sums, so a hot key is even.
-    met = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("first")).where("members > 1")
-    members = written(keyed.join(met.select("key", "first"), "key").select("key", "rep", "n", "first"), "jaccard-members")
-
-    shingled = _member_sets(texts, members, size)
-    links = None
-    current = members.select("key", "rep", "n", F.col("rep").alias("comp"))
+    classes = written(full.groupBy("n_shingles", "h1", "h2").agg(F.min("row_id").alias("rep"), F.count("*").alias("rows")), "jaccard-classes")
+    sets = _first_of_class(full, classes)
+
+    # Only keys that meet another set matter: a filter of cells hit twice, then exact counts.
+    n_keys = full.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    bits = filter_bits(n_keys, 8, max_filter_bits)
+    exploded = sets.select(F.col("row_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode_outer("keys").alias("key"))
+    segments = written(bloom_segments(exploded, "key", bits, 1, twice=True), "jaccard-filter")
+    keyed = written(maybe_member(exploded, "key", segments, bits, 1, "meets").where("meets").drop("meets"), "jaccard-keys")
+    met = written(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "jaccard-met")
+    members = written(keyed.join(met, "key"), "jaccard-members")
+
+    links = tried = None
+    current = members.withColumn("comp", F.col("rep"))
     for number in range(rounds):
-        leaders = current.groupBy("key").agg(F.min(F.struct("comp", "rep", "n")).alias("l"), F.count_distinct("comp").alias("kinds")).where("kinds > 1")
+        leaders = current.groupBy("key").agg(
+            F.min(F.struct("comp", "rep", "n")).alias("l"), F.max("comp").alias("last")).where("l.comp < last")
+        leaders = written(leaders.select("key", F.col("l.comp").alias("lcomp"), F.col("l.rep").alias("lead"), F.col("l.n").alias("ln")), f"jaccard-leaders{number}")
         star = (
-            current.join(leaders.select("key", F.col("l.comp").alias("lcomp"), F.col("l.rep").alias("lead"), F.col("l.n").alias("ln")), "key")
-            .where("comp <> lcomp").where(_may_reach("n", "ln", percent))
+            current.join(leaders, "key").where("comp <> lcomp").where(_may_reach("n", "ln", percent))
             .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         )
-        if links is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
-        star = written(star, f"jaccard-star{number}")
-        found = written(_verify(star, shingled, percent), f"jaccard-links{number}")
-        tried = star if links is None else tried.unionByName(star)
+        star = written(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), f"jaccard-star{number}")
+        found = _verified(_close(star, sketched, percent), texts, size, percent, str(number))
+        tried = star if tried is None else tried.unionByName(star)
         links = found if links is None else links.unionByName(found)
         merged = written(connected(links, "a", "b"), f"jaccard-components{number}")
         current = written(
@@ -210,15 +260,17 @@ def near_duplicates(
             .select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), f"jaccard-current{number}")
 
     # The rest: sets that share a key and are still in different components.
-    open_keys = current.groupBy("key").agg(F.count_distinct("comp").alias("kinds")).where("kinds > 1").select("key")
+    open_keys = written(
+        current.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("key"), "jaccard-open")
     rest = current.join(open_keys, "key", "left_semi")
     other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
     pairs = (
         rest.select("key", F.col("rep").alias("a"), "n", "comp").join(other, "key").where("a < b and comp <> bcomp")
-        .where(_may_reach("n", "bn", percent)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        .where(_may_reach("n", "bn", percent)).select("a", "b").distinct()
     )
-    links = links.unionByName(written(_verify(written(pairs, "jaccard-rest"), shingled, percent), "jaccard-rest-links"))
-    merged = written(connected(links, "a", "b"), "jaccard-components")
+    pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    found = _verified(_close(written(pairs, "jaccard-rest"), sketched, percent), texts, size, percent, "rest")
+    merged = written(connected(found if links is None else links.unionByName(found), "a", "b"), "jaccard-components")
 
     rep_component = classes.join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component"))
@@ -236,17 +288,15 @@ def _may_reach(n: str, m: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
-def _member_sets(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """Shingle sets of the classes that share a key with another: rep, shingles."""
-    wanted = members.select(F.col("rep").alias("row_id")).distinct()
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.view(np.int64) for _, s in _sets(_bytes(batch.column("text")), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
-
-    asked = texts.select("row_id", "text").join(wanted, "row_id", "left_semi")
-    return written(asked.mapInArrow(shingle, "rep long, shingles array<long>"), "jaccard-sets")
+def _first_of_class(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows that stand for their class. Only rows that may be copies are joined; the rest pass straight through."""
+    copied = classes.where("rows > 1")
+    bits = filter_bits(copied.count())
+    hashed = full.withColumn("class_hash", F.xxhash64("n_shingles", "h1", "h2"))
+    segments = written(bloom_segments(copied.select(F.xxhash64("n_shingles", "h1", "h2").alias("class_hash")), "class_hash", bits, 2), "jaccard-copied")
+    tested = maybe_member(hashed, "class_hash", segments, bits, 2, "copied")
+    first = tested.where("copied").join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
+    return tested.where("not copied").unionByName(first).select("row_id", "n_shingles", "keys")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
