@@ -29,7 +29,7 @@ class MappedFile:
 class EliasFano:
     """A non-decreasing sequence of integers below 2**62: low bits packed, high bits in unary.
 
-    `at` reads elements, `first_not_below` finds successors; both take arrays.
+    `at` reads elements, `find` searches them; both take arrays.
     """
 
     def __init__(self, values: np.ndarray, limit: int, file: MappedFile):
@@ -44,47 +44,51 @@ class EliasFano:
             at = first * self.low_bits // 8
             packed[at:at + len(done)] = done
         self.low = file.hold(packed)
+        # Eight bytes from every byte on, so that an element is one read and a shift.
+        self.low_words = np.ndarray((len(packed) - 7,), dtype="<u8", buffer=self.low, strides=(1,))
         unary = np.zeros((int(high[-1]) if self.n else 0) + self.n + 1, dtype=np.uint8)
         unary[high + np.arange(self.n)] = 1
         self.high = file.hold(np.packbits(unary, bitorder="little"))
         self.high_size = len(unary)
-        # Directory: how many ones lie before every 512th bit of the unary part.
-        self.ones = file.hold(np.r_[0, np.cumsum(np.add.reduceat(unary, np.arange(0, len(unary), 512), dtype=np.int64))])
-
-    def _highs(self, index: np.ndarray) -> np.ndarray:
-        """High parts by select: the place of the index-th one, less the index."""
-        block = np.searchsorted(self.ones, index, side="right") - 1
-        wanted, blocks = index - self.ones[block], np.unique(block)
-        bits = np.zeros((len(blocks), 512), dtype=np.uint8)
-        bytes_ = np.zeros((len(blocks), 64), dtype=np.uint8)
-        rows = blocks[:, None] * 64 + np.arange(64)
-        inside = rows < len(self.high)
-        bytes_[inside] = self.high[rows[inside]]
-        bits[:] = np.unpackbits(bytes_, axis=1, bitorder="little")
-        places = np.flatnonzero(bits.ravel())
-        before = np.r_[0, np.cumsum(bits.sum(axis=1, dtype=np.int64))]
-        row = np.searchsorted(blocks, block)
-        return block * 512 + places[before[row] + wanted] - row * 512 - index
+        self._starts: np.ndarray | None = None
 
-    def at(self, index: np.ndarray) -> np.ndarray:
+    def starts(self) -> np.ndarray:
+        """First element of every high part, read off the unary bits (the zeros end the parts); made once."""
+        if self._starts is None:
+            bits = np.unpackbits(self.high, count=self.high_size, bitorder="little")
+            zeros = np.flatnonzero(bits == 0)
+            self._starts = np.r_[0, zeros - np.arange(len(zeros))]
+        return self._starts
+
+    def _low(self, index: np.ndarray) -> np.ndarray:
         bit = index * self.low_bits
-        byte, word = bit >> 3, np.zeros(len(index), dtype=U64)
-        for k in range(8):
-            word |= self.low[byte + k].astype(U64) << U64(8 * k)
-        low = (word >> (bit & 7).astype(U64)) & U64((1 << self.low_bits) - 1)
-        return (self._highs(index).astype(U64) << U64(self.low_bits)) | low
-
-    def first_not_below(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Per query the first place in [lo, hi) whose element is not below x, or hi."""
-        lo, hi = lo.copy(), hi.copy()
-        open_ = np.flatnonzero(lo < hi)
+        return (self.low_words[bit >> 3] >> (bit & 7).astype(U64)) & U64((1 << self.low_bits) - 1)
+
+    def at(self, index: np.ndarray) -> np.ndarray:
+        high = np.searchsorted(self.starts(), index, side="right") - 1
+        return (high.astype(U64) << U64(self.low_bits)) | self._low(index)
+
+    def find(self, x: np.ndarray, lo: np.ndarray | int, hi: np.ndarray | int) -> np.ndarray:
+        """Per query its place within [lo, hi), or -1: successor search in the elements of its high part."""
+        starts = self.starts()
+        high, low = (x >> U64(self.low_bits)).astype(np.int64), x & U64((1 << self.low_bits) - 1)
+        last = len(starts) - 2
+        known = np.minimum(high, last)
+        left, right = np.clip(starts[known], lo, hi), np.clip(starts[known + 1], lo, hi)
+        right = np.where(high > last, left, right)
+        end = right.copy()
+        open_ = np.flatnonzero(left < right)
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.at(mid) < x[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        return lo
+            mid = (left[open_] + right[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            left[open_[less]] = mid[less] + 1
+            right[open_[~less]] = mid[~less]
+            open_ = open_[left[open_] < right[open_]]
+        found = np.full(len(x), -1, dtype=np.int64)
+        inside = np.flatnonzero(left < end)
+        same = inside[self._low(left[inside]) == low[inside]]
+        found[same] = left[same]
+        return found
 
 
 class NgramTrie:
@@ -110,17 +114,13 @@ class NgramTrie:
         found = np.zeros(len(keys), dtype=np.uint8)
         if not self.n_contexts or not len(keys):
             return found
-        context, which = np.unique(keys >> U64(32), return_inverse=True)
-        place = self.contexts.first_not_below(context, np.zeros(len(context), dtype=np.int64), np.full(len(context), self.n_contexts))
-        hit = place < self.n_contexts
-        hit[hit] = self.contexts.at(place[hit]) == context[hit]
-        asked = np.flatnonzero(hit[which])
-        node = place[which[asked]]
-        lo, hi = self.pointers.at(node).astype(np.int64), self.pointers.at(node + 1).astype(np.int64)
+        upper = keys >> U64(32)
+        new = np.r_[True, upper[1:] != upper[:-1]]
+        place = self.contexts.find(upper[new], 0, self.n_contexts)[np.cumsum(new) - 1]
+        asked = np.flatnonzero(place >= 0)
+        node = place[asked]
+        begin, end = self.pointers.at(node).astype(np.int64), self.pointers.at(node + 1).astype(np.int64)
         x = (node.astype(U64) << U64(32)) | (keys[asked] & U64(0xFFFFFFFF))
-        at = self.successors.first_not_below(x, lo, hi)
-        inside = at < hi
-        same = inside.copy()
-        same[inside] = self.successors.at(at[inside]) == x[inside]
-        found[asked[same]] = self.codes[at[same]]
+        at = self.successors.find(x, begin, end)
+        found[asked[at >= 0]] = self.codes[at[at >= 0]]
         return found
