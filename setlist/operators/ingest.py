@@ -137,6 +137,14 @@ def artists_to_refresh(catalog: Catalog, playlists: DataFrame | None = None) ->
     return catalog.artist.join(ids, "artist_id", "left_semi").select("spotify_id").distinct()
 
 
+def loaded_artists(catalog: Catalog, tracks: DataFrame, track: DataFrame) -> DataFrame:
+    """Natural ids of the artists of loaded tracks: those the load names and those linked before."""
+    ids = track.join(tracks.select("spotify_id").distinct(), "spotify_id", "left_semi").select("track_id")
+    linked = catalog.track_artist.join(ids, "track_id", "left_semi").select("artist_id").distinct()
+    known = catalog.artist.join(linked, "artist_id", "left_semi").select("spotify_id")
+    return tracks.select(F.explode("artists.id").alias("spotify_id")).unionByName(known).distinct()
+
+
 def merge_genres(genre: DataFrame, names: DataFrame) -> DataFrame:
     """Genres not known by name get a row; known ones stay, duplicates included."""
     fresh = names.select("name").dropna().distinct().join(genre, "name", "left_anti")
@@ -248,7 +256,7 @@ def ingest(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df)
     album = stage("album", merge_albums(catalog.album, albums, folded("album")))
     filled = stage("track", fill_missing_albums(track, wanted, album, albums))
 
-    details = stage("artist_rows", P.artist_rows(landed.artists))
+    details = stage("artist_rows", P.artist_rows(P.payloads_for_ids(landed.artists, loaded_artists(catalog, tracks, track))))
     artist = stage("artist", merge_artists(
         catalog.artist, artist_mentions(tracks, FROM_TRACK), artist_details(details), artist_mentions(albums, FROM_ALBUM),
         hold=folded("artist"),

@@ -92,18 +92,27 @@ def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: st
     """Store the index by token bucket, sorted by token within files, and read it back.
 
     The rebalance splits a bucket that a very common token blows up into several tasks and
-    files; on reading, bucket folders are pruned and files skipped by token.
+    files; on reading, bucket folders are pruned and files skipped by token. The number of
+    buckets is stored with the index and an index that is appended to keeps its own.
     """
-    keyed = postings.withColumn("bucket", bucket_of(F.col("token"), buckets))
+    if mode == "append":
+        buckets = index_buckets(read_index(postings.sparkSession, path)) or buckets
+    keyed = postings.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(F.col("token"), buckets))
     (
         keyed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
-        .write.mode(mode).partitionBy("bucket").parquet(path)
+        .write.mode(mode).partitionBy("buckets", "bucket").parquet(path)
     )
     return read_index(postings.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("token string, track_id bigint, field string, pos int, bucket int").parquet(path)
+    return spark.read.schema("token string, track_id bigint, field string, pos int, buckets int, bucket int").parquet(path)
+
+
+def index_buckets(index: DataFrame) -> int | None:
+    """The number of buckets an index was written with; none if it has no rows."""
+    row = index.select("buckets").first()
+    return row["buckets"] if row else None
 
 
 def new_postings(c: Catalog, postings: DataFrame, playlists: DataFrame, distinct_artists: bool = True) -> DataFrame:
@@ -132,11 +141,11 @@ def _terms_of(spark: SparkSession, query: str) -> list[Row]:
     return query_terms(one).withColumn("digest", F.xxhash64("token")).collect()
 
 
-def search(postings: DataFrame, query: str, buckets: int = BUCKETS) -> DataFrame:
+def search(postings: DataFrame, query: str, buckets: int | None = None) -> DataFrame:
     """Ids of the tracks that match one query.
 
-    The few tokens of the query are known before the scan, so buckets (as many as the index was
-    written with) and tokens are literal filters. All further groups are small: they hold the places of one phrase in one track.
+    The few tokens of the query are known before the scan, so buckets and tokens are literal
+    filters. A stored index knows its number of buckets; `buckets` is not needed and must not differ. All further groups are small: they hold the places of one phrase in one track.
     """
     terms = _terms_of(postings.sparkSession, query)
     if not terms:
@@ -145,7 +154,10 @@ def search(postings: DataFrame, query: str, buckets: int = BUCKETS) -> DataFrame
     wanted = sorted({t.token for t in terms})
     hits = postings.where(F.col("token").isin(wanted))
     if "bucket" in postings.columns:
-        hits = hits.where(F.col("bucket").isin(sorted({t.digest % buckets for t in terms})))
+        stored = index_buckets(postings)
+        if buckets is not None and stored is not None and buckets != stored:
+            raise ValueError(f"the index has {stored} buckets, not {buckets}")
+        hits = hits.where(F.col("bucket").isin(sorted({t.digest % (stored or 1) for t in terms})))
 
     places = F.array(*[
         F.struct(F.lit(t.token).alias("token"), F.lit(t.word_no).alias("word_no"),
@@ -161,7 +173,7 @@ def _matches(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys for which every word has all its tokens side by side somewhere."""
     whole = (
         rows.groupBy(*keys, "n_words", "word_no", "n_tokens", "field", (F.col("pos") - F.col("tok_no")).alias("start"))
-        .agg(F.count("*").alias("n")).where("n = n_tokens")
+        .agg(F.count_distinct("tok_no").alias("n")).where("n = n_tokens")
     )
     words = whole.select(*keys, "n_words", "word_no").distinct()
     return words.groupBy(*keys, "n_words").agg(F.count("*").alias("n")).where("n = n_words").select(*keys)

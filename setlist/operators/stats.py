@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from setlist.catalog import Catalog
 from setlist.functions import bins
+from setlist.operators.relations import one_features_row
 from setlist.schema import CONTINUOUS_FEATURES
 
 # Sums of feature x duration are taken over whole millionths, so they do not depend on the order of rows.
@@ -142,6 +143,8 @@ def histogram(values: DataFrame, column: str, weight: str | None = None) -> Data
     return numbered.groupBy("bin", left.alias("bin_start"), right.alias("bin_end")).agg(total.alias("count")).orderBy("bin")
 
 
-def energy_histogram(c: Catalog) -> DataFrame:
-    """Played tracks per energy bin; plays are counted per track first."""
-    return histogram(track_plays(c).join(c.audio_features.select("track_id", "energy"), "track_id"), "energy", "plays")
+def energy_histogram(c: Catalog, playlists: DataFrame | None = None) -> DataFrame:
+    """Played tracks (of the given playlists) per energy bin; plays are counted per track first."""
+    if playlists is not None:
+        c = c.with_tables(playlist_track=c.playlist_track.join(playlists.select("playlist_id"), "playlist_id", "left_semi"))
+    return histogram(track_plays(c).join(one_features_row(c).select("track_id", "energy"), "track_id"), "energy", "plays")

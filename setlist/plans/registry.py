@@ -18,7 +18,6 @@ from setlist.plans import pages
 from setlist.session import shared_dir, tune
 from setlist.sources import landed, payloads, tables
 from setlist.sources.binding import bound_catalog, driver_table
-from setlist.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -271,7 +270,7 @@ def ingest_table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def latest_listing_entry(c: Catalog) -> DataFrame:
     listing = payloads.filter_listing(_listing(c), *LISTING_MARKERS)
-    return listing.orderBy("page_no", "pos").limit(1).select("spotify_id", "name")
+    return listing.orderBy("page_no", "pos", "spotify_id").limit(1).select("spotify_id", "name")
 
 
 @query
@@ -403,7 +402,7 @@ def timeline_json(c: Catalog) -> DataFrame:
 
 @query
 def timeline_json_arrays(c: Catalog) -> DataFrame:
-    return timeline.timeline_json_arrays(timeline.timeline(c))
+    return timeline.timeline_json_arrays(timeline.timeline(c)).drop("first_position")
 
 
 @query
@@ -411,7 +410,8 @@ def timeline_json_parsed(c: Catalog) -> DataFrame:
     """The JSON arrays read back."""
     arrays = timeline.timeline_json_arrays(timeline.timeline(c))
     records = F.from_json("records", "array<struct<track_id:string,name:string,date:string,key_str:string,start_time_ms:bigint,energy:double>>")
-    return arrays.select("playlist_id", F.posexplode(records).alias("pos", "r")).select("playlist_id", "pos", "r.*")
+    split = arrays.select("playlist_id", "first_position", F.posexplode(records).alias("at", "r"))
+    return split.select("playlist_id", (F.col("first_position") + F.col("at")).cast("int").alias("pos"), "r.*")
 
 
 # --- search ------------------------------------------------------------------------------------------------
@@ -426,7 +426,7 @@ def _index(spark: SparkSession, c: Catalog) -> DataFrame:
 
 
 def _one_search(spark: SparkSession, c: Catalog) -> DataFrame:
-    return search.search(_index(spark, c), ONE_QUERY, INDEX_BUCKETS)
+    return search.search(_index(spark, c), ONE_QUERY)
 
 
 @query
@@ -466,7 +466,7 @@ def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(driver_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("track_id"), "text")
+    return driver_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("track_id"), "text")
 
 
 @raw_query

@@ -185,3 +185,11 @@ def test_write_json(spark, tiny, tmp_path):
     folder = str(tmp_path / "json")
     sinks.write_json(timeline.timeline(tiny), folder)
     assert spark.read.json(folder).count() == 4
+
+
+def test_json_positions_do_not_depend_on_the_array_length(tiny):
+    flat = timeline.timeline(tiny)
+    def positions(length):
+        parts = timeline.timeline_json_arrays(flat, length=length).collect()
+        return sorted((r["playlist_id"], r["first_position"] + i) for r in parts for i in range(len(json.loads(r["records"]))))
+    assert positions(1) == positions(2) == positions(10_000)

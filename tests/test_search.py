@@ -77,3 +77,13 @@ def test_repeated_names_match_across_the_border(spark):
     assert repeated.first()["artist"] == "foo;foo"
     assert rows(S.search(S.search_postings(repeated), "foo;foo")) == [(1,)]
     assert rows(S.search(S.search_postings(S.search_docs(c)), "foo;foo")) == []
+
+
+@pytest.mark.parametrize("buckets", [4, 8, 64])
+def test_a_stored_index_knows_its_buckets(spark, buckets):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "delta alpha")], "track_id bigint, text string")
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    stored = S.write_index(S.search_postings(docs, ("text",)), path, buckets=buckets)
+    assert [r[0] for r in rows(S.search(stored, "alpha"))] == [1, 3]
+    more = S.write_index(S.search_postings(docs.where("track_id = 1"), ("text",)), path, buckets=5, mode="append")
+    assert [r[0] for r in rows(S.search(more, "alpha"))] == [1, 3]
