@@ -31,6 +31,8 @@ KINDS = ["assign", "access", "hex", "markov"]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LONG_HEX = r"[0-9a-f]{24,}"
 LETTERS = 128  # ASCII codes
+SYMBOLS = 66  # of a candidate, about
+BACK_OFF = 10.0  # weight of P(b) in P(b|a)
 
 
 def _matches(text: Column, kind: int, pattern: str, keep, screen: str) -> Column:
@@ -58,6 +60,7 @@ def _ratio_table(docs: DataFrame, sample_rows: int) -> Column:
     tokens = sample.select(F.explode(F.split("text", SPACE_CLASS + "+")).alias("token"))
     ordinary = tokens.where(
         F.col("token").rlike("^[A-Za-z0-9+/_=-]{6,}$") & ~F.col("token").rlike(LONG_HEX) & ~F.col("token").rlike(ACCESS + "{16}")
+        & ~((F.char_length("token") >= 20) & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]"))  # could be secrets
     ).select(F.lit(0).alias("label"), "token")
     digest = F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")), 256)
     random = sample.select(F.explode(F.array(
@@ -71,9 +74,14 @@ def _ratio_table(docs: DataFrame, sample_rows: int) -> Column:
     counts = pairs.where((F.col("pair") >= 0) & (F.col("pair") < LETTERS * LETTERS)).groupBy("pair").agg(
         F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1"))
     grid = docs.sparkSession.range(LETTERS * LETTERS).join(counts, F.col("id") == F.col("pair"), "left").select(
-        "id", F.expr(f"id div {LETTERS}").alias("a"), F.coalesce("n0", F.lit(0)).alias("n0"), F.coalesce("n1", F.lit(0)).alias("n1"))
-    before = W.partitionBy("a")
-    log_p = lambda n: F.log((F.col(n) + 0.5) / (F.sum(n).over(before) + 0.5 * 66))  # noqa: E731  66 symbols of a candidate, about
+        "id", F.expr(f"id div {LETTERS}").alias("a"), (F.col("id") % LETTERS).alias("b"), F.coalesce("n0", F.lit(0)).alias("n0"), F.coalesce("n1", F.lit(0)).alias("n1"))
+    first, second, whole = W.partitionBy("a"), W.partitionBy("b"), W.partitionBy()  # over the 16,384 rows of the grid
+
+    def log_p(n: str) -> Column:
+        """Log P(b|a), smoothed with P(b), so that rare contexts fall back on how common b is."""
+        alone = (F.sum(n).over(second) + 0.5) / (F.sum(n).over(whole) + 0.5 * SYMBOLS)
+        return F.log((F.col(n) + BACK_OFF * alone) / (F.sum(n).over(first) + BACK_OFF))
+
     scored = grid.select("id", (log_p("n1") - log_p("n0")).alias("ratio"))
     ratios = [row["ratio"] for row in scored.orderBy("id").collect()]
     return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
