@@ -17,8 +17,8 @@ from setlist.llm.queries import MIX_SEED, SOURCE_WEIGHTS, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-# Near duplicates are components of an iterated join, which SQL on the tables cannot state; tests
-# compare the whole run with a brute-force version.
+# Near duplicates are components of an iterated join, which SQL on the tables cannot state; the
+# stages' operators are compared with brute-force versions in tests/llm.
 ORACLE_SQL: str | None = None
 
 
