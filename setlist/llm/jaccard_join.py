@@ -200,6 +200,8 @@ def _close(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, from the whole texts of the documents in question."""
     pairs = written(pairs, f"jaccard-pairs-{name}")
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
     bits = filter_bits(2 * pairs.count())
     segments = written(bloom_segments(wanted, "row_id", bits, 2), f"jaccard-wanted-{name}")
@@ -240,7 +242,7 @@ def near_duplicates(
     met = written(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "jaccard-met")
     members = written(keyed.join(met, "key"), "jaccard-members")
 
-    links = tried = None
+    links = tried = merged = None
     current = members.withColumn("comp", F.col("rep"))
     for number in range(rounds):
         leaders = current.groupBy("key").agg(
@@ -251,8 +253,12 @@ def near_duplicates(
             .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         )
         star = written(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), f"jaccard-star{number}")
+        if merged is not None and star.isEmpty():
+            break  # all have been compared with the sets that lead their keys
         found = _verified(_close(star, sketched, percent), texts, size, percent, str(number))
         tried = star if tried is None else tried.unionByName(star)
+        if merged is not None and found.isEmpty():
+            break  # components and leaders stay as they are
         links = found if links is None else links.unionByName(found)
         merged = written(connected(links, "a", "b"), f"jaccard-components{number}")
         current = written(
@@ -270,7 +276,8 @@ def near_duplicates(
     )
     pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
     found = _verified(_close(written(pairs, "jaccard-rest"), sketched, percent), texts, size, percent, "rest")
-    merged = written(connected(found if links is None else links.unionByName(found), "a", "b"), "jaccard-components")
+    if merged is None or not found.isEmpty():
+        merged = written(connected(found if links is None else links.unionByName(found), "a", "b"), "jaccard-components")
 
     rep_component = classes.join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component"))
