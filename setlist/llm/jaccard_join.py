@@ -16,6 +16,13 @@ for its size band, so that such (rare) sets meet. The order is by how common the
 are, rarest first, from counts of all shingles of all documents in a table of fixed size, then by
 hash: passages that many documents share rank last and give few keys.
 
+Positions. A differing word of which both sets hold an odd number of shingles stands for two unshared
+shingles, any other for at least one. So the odd words that come before the first common word in
+either set's order number no more than the symmetric difference, both sets taken together. A key
+carries that count; a pair meets by a key only where the two counts add up to what its sizes allow,
+and so one of the two is at most half of it: only such keys lead, the others wait to be led. Sets
+that have a common passage and little else in common thus never meet by the passage.
+
 Size bands. W depends on the band of the set's size (a factor of 16 wide); a set near enough to a
 limit to be linked across it emits keys in both bands.
 
@@ -126,9 +133,9 @@ def _bands(n: int, percent: int) -> set[int]:
     return {_band(n), _band(max(1, n * 100 // percent))}
 
 
-def sketch_keys(shingles: np.ndarray, commonness: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of one set: the first d+1 words of its parity sketches, per band."""
-    n, keys = len(shingles), []
+def sketch_keys(shingles: np.ndarray, commonness: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one set, the first d+1 words of its parity sketches, per band; and how many odd words come before each."""
+    n, keys, before = len(shingles), [], []
     budget = _difference(n, percent) + 1
     cls = commonness[_cells(shingles)].astype(np.int64)
     for band in sorted(_bands(n, percent)):
@@ -141,10 +148,15 @@ def sketch_keys(shingles: np.ndarray, commonness: np.ndarray, percent: int) -> n
         rare = np.minimum.reduceat(cls[order], first)  # a word is no more common than its rarest shingle
         salt = U64(band * 0x632BE59BD9B4E019 % 2**64)
         key = mix(word ^ mix(ordered[first] + salt))
-        keys.append(key[np.lexsort((key, rare))[:budget]])
-        if len(key) < budget:
+        odd = np.diff(np.r_[first, n]) & 1
+        chosen = np.lexsort((key, rare))[:budget]
+        keys.append(key[chosen])
+        before.append(np.cumsum(odd[chosen]) - odd[chosen])
+        if len(key) < budget:  # such sets may have no word in common: no count is known
             keys.append(mix(np.array([salt + U64(1)], dtype=U64)))
-    return np.unique(np.concatenate(keys))
+            before.append(np.zeros(1, dtype=np.int64))
+    found, at = np.unique(np.concatenate(keys), return_index=True)
+    return found, np.concatenate(before)[at]
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
@@ -158,26 +170,28 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, commonness: np.ndarray, size: int, percent: int) -> DataFrame:
-    """row_id, doc_id, n_shingles, set hashes h1 and h2, keys, bits (the parity sketch)."""
+    """row_id, doc_id, n_shingles, set hashes h1 and h2, keys, before (odd words before each key), bits (the parity sketch)."""
     shared = docs.sparkSession.sparkContext.broadcast(commonness)  # one byte per cell
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, keys, bits = [], [], [], [], []
+            n, h1, h2, keys, before, bits = [], [], [], [], [], []
             for _, s in _sets(_bytes(batch.column("text")), size):
                 n.append(len(s))
                 h1.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                 h2.append(int(np.add.reduce(mix(s ^ U64(0x2545F4914F6CDD1D))).view(np.int64)) if len(s) else 0)
-                keys.append(sketch_keys(s, shared.value, percent).view(np.int64) if len(s) else np.empty(0, dtype=np.int64))
+                key, odd = sketch_keys(s, shared.value, percent) if len(s) else (np.empty(0, dtype=U64), np.empty(0, dtype=np.int64))
+                keys.append(key.view(np.int64))
+                before.append(odd.astype(np.int32))
                 bits.append(parity_bits(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["row_id", "doc_id", "n_shingles", "h1", "h2", "keys", "bits"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(before, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
+                ["row_id", "doc_id", "n_shingles", "h1", "h2", "keys", "before", "bits"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("row_id", "doc_id", "text").mapInArrow(
-        sketch, f"row_id long, doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, bits array<long>")
+        sketch, f"row_id long, doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, before array<int>, bits array<long>")
 
 
 def _close(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
@@ -236,20 +250,24 @@ def near_duplicates(
     # Only keys that meet another set matter: a filter of cells hit twice, then exact counts.
     n_keys = full.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     bits = filter_bits(n_keys, 8, max_filter_bits)
-    exploded = sets.select(F.col("row_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode_outer("keys").alias("key"))
+    exploded = sets.select(
+        F.col("row_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("keys", "before")).alias("k")
+    ).select("rep", "n", F.col("k.keys").alias("key"), F.col("k.before").alias("before"))
     segments = written(bloom_segments(exploded, "key", bits, 1, twice=True), "jaccard-filter")
     keyed = written(maybe_member(exploded, "key", segments, bits, 1, "meets").where("meets").drop("meets"), "jaccard-keys")
-    met = written(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "jaccard-met")
+    leads = F.col("before") * 2 * percent <= F.col("n") * (100 - percent)
+    met = written(
+        keyed.groupBy("key").agg(F.count("*").alias("members"), F.max(leads).alias("led")).where("members > 1 and led").select("key"), "jaccard-met")
     members = written(keyed.join(met, "key"), "jaccard-members")
 
     links = tried = merged = None
     current = members.withColumn("comp", F.col("rep"))
     for number in range(rounds):
         leaders = current.groupBy("key").agg(
-            F.min(F.struct("comp", "rep", "n")).alias("l"), F.max("comp").alias("last")).where("l.comp < last")
-        leaders = written(leaders.select("key", F.col("l.comp").alias("lcomp"), F.col("l.rep").alias("lead"), F.col("l.n").alias("ln")), f"jaccard-leaders{number}")
+            F.min(F.struct("comp", "rep", "n", "before")).alias("l"), F.max("comp").alias("last")).where("l.comp < last")
+        leaders = written(leaders.select("key", F.col("l.comp").alias("lcomp"), F.col("l.rep").alias("lead"), F.col("l.n").alias("ln"), F.col("l.before").alias("lbefore")), f"jaccard-leaders{number}")
         star = (
-            current.join(leaders, "key").where("comp <> lcomp").where(_may_reach("n", "ln", percent))
+            current.join(leaders, "key").where("comp <> lcomp").where(_may_reach("n", "ln", percent) & _may_start("n", "before", "ln", "lbefore", percent))
             .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         )
         star = written(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), f"jaccard-star{number}")
@@ -263,16 +281,18 @@ def near_duplicates(
         merged = written(connected(links, "a", "b"), f"jaccard-components{number}")
         current = written(
             members.join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            .select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), f"jaccard-current{number}")
+            .select("key", "rep", "n", "before", F.coalesce("component", "rep").alias("comp")), f"jaccard-current{number}")
 
-    # The rest: sets that share a key and are still in different components.
+    # The rest: sets that share a key and are still in different components; one of each pair leads.
     open_keys = written(
-        current.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("key"), "jaccard-open")
-    rest = current.join(open_keys, "key", "left_semi")
-    other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
+        current.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(leads).alias("led"))
+        .where("first < last and led").select("key"), "jaccard-open")
+    rest = written(current.join(open_keys, "key", "left_semi").withColumn("leads", leads), "jaccard-left")
+    other = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("rep", "n", "before", "comp", "leads")])
     pairs = (
-        rest.select("key", F.col("rep").alias("a"), "n", "comp").join(other, "key").where("a < b and comp <> bcomp")
-        .where(_may_reach("n", "bn", percent)).select("a", "b").distinct()
+        rest.where("leads").join(other, "key").where("comp <> bcomp and (rep < brep or not bleads)")
+        .where(_may_reach("n", "bn", percent) & _may_start("n", "before", "bn", "bbefore", percent))
+        .select(F.least("rep", "brep").alias("a"), F.greatest("rep", "brep").alias("b")).distinct()
     )
     pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
     found = _verified(_close(written(pairs, "jaccard-rest"), sketched, percent), texts, size, percent, "rest")
@@ -295,6 +315,11 @@ def _may_reach(n: str, m: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
+def _may_start(n: str, before: str, m: str, m_before: str, percent: int):
+    """Whether a common word with so many odd words before it in either set may be the first one of a linked pair."""
+    return (F.col(before) + F.col(m_before)) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
+
+
 def _first_of_class(full: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows that stand for their class. Only rows that may be copies are joined; the rest pass straight through."""
     copied = classes.where("rows > 1")
@@ -303,7 +328,7 @@ def _first_of_class(full: DataFrame, classes: DataFrame) -> DataFrame:
     segments = written(bloom_segments(copied.select(F.xxhash64("n_shingles", "h1", "h2").alias("class_hash")), "class_hash", bits, 2), "jaccard-copied")
     tested = maybe_member(hashed, "class_hash", segments, bits, 2, "copied")
     first = tested.where("copied").join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
-    return tested.where("not copied").unionByName(first).select("row_id", "n_shingles", "keys")
+    return tested.where("not copied").unionByName(first).select("row_id", "n_shingles", "keys", "before")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

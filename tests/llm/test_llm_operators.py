@@ -202,6 +202,44 @@ def test_components_of_near_copies_that_do_not_all_meet(make_docs):
     assert got == brute_components(data) and len({c for _, _, c in got}) == 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_keys_of_linked_sets_meet(seed):
+    """Every linked pair has a key in common whose counts allow it, and a pair that shares a passage only has none."""
+    rng = np.random.default_rng(seed)
+    commonness = rng.integers(0, 12, jaccard_join.CELLS).astype(np.uint8)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+
+    def meet(x, y):
+        found = []
+        for s in (x, y):
+            keys, before = jaccard_join.sketch_keys(s, commonness, 80)
+            found.append(dict(zip(keys.tolist(), before.tolist(), strict=True)))
+        allowed = [(found[0][k], found[1][k]) for k in found[0].keys() & found[1].keys() if (found[0][k] + found[1][k]) * 180 <= (len(x) + len(y)) * 20]
+        return any(2 * 80 * i <= 20 * len(x) or 2 * 80 * j <= 20 * len(y) for i, j in allowed)
+
+    for n in [1, 2, 4, 5, 9, 13, 15, 16, 17, 40, 100, 200, 255, 256, 300, 1000, 4095, 4096, 5000] * 8:
+        base = np.unique(draw(n))
+        a = rng.integers(0, n // 9 + 1)  # of either set only
+        b = rng.integers(0, n // 9 + 1)
+        x, y = np.unique(np.r_[base, draw(a)]), np.unique(np.r_[base, draw(b)])
+        if len(base) * 100 >= 80 * len(np.union1d(x, y)):
+            assert meet(x, y), (n, a, b)
+        inner = np.unique(np.r_[base[len(base) // 9 + 1:], draw(n // 9)])
+        if 100 * len(np.intersect1d(inner, base)) >= 80 * len(np.union1d(inner, base)):
+            assert meet(inner, base), n
+    passage = draw(70)
+    commonness[jaccard_join._cells(passage)] = 20
+    assert not any(meet(np.unique(np.r_[passage, draw(30)]), np.unique(np.r_[passage, draw(30)])) for _ in range(20))
+
+
+def test_documents_around_one_passage(make_docs):
+    """Many documents share a passage of four in five words, and some are linked by little more than it."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    data = [(i, passage + " " + " ".join(f"t{i}x{j}" for j in range(i % 14)), "en", "s") for i in range(60)]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(make_docs(data)).collect()}
+    assert got == {(i, c) for i, _, c in brute_components(data)}
+
+
 def test_leaks(spark, make_docs):
     items = [(0, prose(50, 40)), (1, prose(51, 15)), (2, "four words only here"), (3, None), (4, prose(50, 40)), (5, "a b a b a b a b a b a b")]
     broken = items[0][1].split()
