@@ -32,10 +32,13 @@ difference as well, so a pair whose bits differ in more places than its sizes al
 set is fetched. Keys that only one set has are left out by a two-pass Bloom filter of bounded size.
 
 Groups. Equal sets become one class first. For the sets that share a key, in rounds: each is
-compared with the key's first set only, and then those known to be in one component are seen as
-one. What is left, pairs that share a key in different components, is compared in full, so no
-link that could change a component is left out, and a group of near copies costs as many
-comparisons as it has members and not its square.
+compared with one set of the key's largest component only, and then those known to be in one
+component are seen as one. The leading set is drawn anew for every key and round, so that a set
+meets as many leaders as it has keys. Rounds end early when the pairs left are no more than the
+keys of all sets, or a round finds no link. What is left, pairs that share a key in different
+components, is compared in full, so no link that could change a component is left out. A group of
+copies that are all near each other costs as many comparisons as it has members and not its
+square; copies of one text that are edited too much to be linked are still compared in pairs.
 
 Verification is exact on 64-bit shingle hashes: links need |A & B| * (100 + T) >= T * (a + b).
 
@@ -260,12 +263,22 @@ def near_duplicates(
         keyed.groupBy("key").agg(F.count("*").alias("members"), F.max(leads).alias("led")).where("members > 1 and led").select("key"), "jaccard-met")
     members = written(keyed.join(met, "key"), "jaccard-members")
 
+    n_members = members.count()
     links = tried = merged = None
     current = members.withColumn("comp", F.col("rep"))
     for number in range(rounds):
-        leaders = current.groupBy("key").agg(
-            F.min(F.struct("comp", "rep", "n", "before")).alias("l"), F.max("comp").alias("last")).where("l.comp < last")
-        leaders = written(leaders.select("key", F.col("l.comp").alias("lcomp"), F.col("l.rep").alias("lead"), F.col("l.n").alias("ln"), F.col("l.before").alias("lbefore")), f"jaccard-leaders{number}")
+        parts = current.groupBy("key", "comp").agg(
+            F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", "rep", F.lit(number)).alias("draw"), "rep", "n", "before")).alias("set"))
+        leaders = written(
+            parts.groupBy("key").agg(
+                F.min(F.struct((-F.col("m")).alias("m"), "comp", "set")).alias("l"), F.count("*").alias("parts"),
+                F.sum("m").cast("double").alias("all"), F.sum(F.col("m").cast("double") * F.col("m")).alias("within"))
+            .where("parts > 1").select(
+                "key", F.col("l.comp").alias("lcomp"), F.col("l.set.rep").alias("lead"), F.col("l.set.n").alias("ln"),
+                F.col("l.set.before").alias("lbefore"), ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("left")),
+            f"jaccard-leaders{number}")
+        if merged is not None and leaders.agg(F.coalesce(F.sum("left"), F.lit(0.0))).first()[0] <= n_members:
+            break
         star = (
             current.join(leaders, "key").where("comp <> lcomp").where(_may_reach("n", "ln", percent) & _may_start("n", "before", "ln", "lbefore", percent))
             .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
