@@ -38,11 +38,12 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only a local session (tests, a laptop) may fall back to a temporary folder.
+    Only a single-process session (tests, a laptop) may fall back to a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix="setlist-")
