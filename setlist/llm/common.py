@@ -1,7 +1,8 @@
 """Shared helpers: the scratch folder, written stages, word rules and segmented Bloom filters.
 
-Row ids: `with_row_id` numbers rows by their place in the scan. Operators that read their input
-twice rely on it, so their input must be a stable scan (a table, or a stage written before).
+Row ids: `with_row_id` numbers rows by their place in the scan. The place is not the same in the
+next scan, not even of a table: Spark cuts files by the number of cores alive. Operators that need
+the ids in more than one pass take `numbered`, which scans once and stores the id with the row.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, stage: str) -> DataFrame:
+    """The rows with a stored `row_id`, written in one scan: the same in all passes that read them."""
+    return written(with_row_id(df), stage)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from setlist.llm.common import bloom_segments, filter_bits, maybe_member, with_row_id, words, written
+from setlist.llm.common import bloom_segments, filter_bits, maybe_member, numbered, with_row_id, words, written
 
 SHINGLE = 5
 BITS = 64
@@ -74,13 +74,21 @@ def find_leaks(
 
     `start` counts words from 0.
     """
+    texts = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "leak-docs")
+    return _leaks(texts, benchmark, item_col, item_text_col, min_similarity, radius, broadcast_rows)
+
+
+def _leaks(
+    texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text",
+    min_similarity: float = 0.8, radius: int = 24, broadcast_rows: int = 2_000_000,
+) -> DataFrame:
+    """`find_leaks` of a written table of row_id, doc_id and text."""
     items = _shingled(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "text")
     items = with_row_id(items, "item_row").withColumn("n_item", F.size("shingles"))
     items = written(items.withColumn("item_print", simhash(F.col("shingles"))), "leak-items").where("n_item > 0")
     n_shingles = items.agg(F.coalesce(F.sum("n_item"), F.lit(0))).first()[0]
     item_shingles = items.select("n_item", F.posexplode("shingles").alias("item_pos", "shingle")).distinct()
 
-    texts = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     # Outer: for an inner explode Spark derives a filter on the array and pushes it down, where it
     # would build the whole array again for each of its elements.
     all_shingles = _shingled(texts.select("row_id", "text"), "text").select(
@@ -136,12 +144,14 @@ def find_leaks(
     return verified.groupBy("doc_id", "row_id", "item_row", "item_id").agg(best.alias("b")).select("doc_id", "row_id", "item_id", "b.*")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    leaks = written(find_leaks(docs, benchmark, **settings).select("row_id").distinct(), "leak-rows")
+    docs_once = numbered(docs.select(F.struct("*").alias("doc")), "leak-docs")
+    texts = docs_once.select("row_id", F.col(f"doc.{id_col}").alias("doc_id"), F.col(f"doc.{text_col}").alias("text"))
+    leaks = written(_leaks(texts, benchmark, **settings).select("row_id").distinct(), "leak-rows")
     bits = filter_bits(leaks.count())
     segments = written(bloom_segments(leaks, "row_id", bits, 2), "leak-rows-filter")
-    rows = maybe_member(with_row_id(docs.select(F.struct("*").alias("doc"))), "row_id", segments, bits, 2, "suspect")
+    rows = maybe_member(docs_once, "row_id", segments, bits, 2, "suspect")
     clean = rows.where("not suspect").select("doc")
     checked = rows.where("suspect").join(leaks, "row_id", "left_anti").select("doc")
     return clean.unionByName(checked).select("doc.*")

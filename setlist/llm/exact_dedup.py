@@ -18,18 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import SPACE_CLASS, bloom_segments, filter_bits, maybe_member, with_row_id, written
+from setlist.llm.common import SPACE_CLASS, bloom_segments, filter_bits, maybe_member, numbered, with_row_id, written
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", "")
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, bits_per_key: int, hashes: int, max_filter_bits: int):
-    """Written digest rows (doc_id, row_id, n_chars, sha, repeats) and the filter they were tested with."""
-    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+def _digests(rows: DataFrame, bits_per_key: int, hashes: int, max_filter_bits: int):
+    """Written digest rows (doc_id, row_id, n_chars, sha, repeats) of doc_id, row_id and text, and the filter they were tested with."""
     keyed = rows.select("doc_id", "row_id", "text", F.xxhash64(normalised(F.col("text"))).alias("hash"))
-    bits = filter_bits(docs.count(), bits_per_key, max_filter_bits)
+    bits = filter_bits(rows.count(), bits_per_key, max_filter_bits)
     segments = written(bloom_segments(keyed, "hash", bits, hashes, twice=True), "exact-filter")
     tested = maybe_member(keyed, "hash", segments, bits, hashes, "repeats")
     digest = tested.select(
@@ -62,7 +61,9 @@ def exact_groups(
     bits_per_key: int = 8, hashes: int = 2, max_filter_bits: int = 1 << 31,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digest, _, _ = _digests(docs, id_col, text_col, bits_per_key, hashes, max_filter_bits)
+    # The ids are those of the scan that writes the digests; the filter's pass does not use them.
+    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    digest, _, _ = _digests(rows, bits_per_key, hashes, max_filter_bits)
     return _grouped(digest).select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
@@ -71,10 +72,12 @@ def drop_copies(
     bits_per_key: int = 8, hashes: int = 2, max_filter_bits: int = 1 << 31,
 ) -> DataFrame:
     """The rows that stay, with all their columns; only possibly repeated rows are shuffled."""
-    digest, segments, bits = _digests(docs, id_col, text_col, bits_per_key, hashes, max_filter_bits)
+    rows = numbered(docs.select(F.struct("*").alias("doc")), "exact-rows")
+    text = F.col(f"doc.{text_col}").alias("text")
+    digest, segments, bits = _digests(
+        rows.select(F.col(f"doc.{id_col}").alias("doc_id"), "row_id", text), bits_per_key, hashes, max_filter_bits)
     stay = _grouped(digest.where("repeats")).where("kept").select(F.col("row_id").alias("stay_id"))
-    rows = with_row_id(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")))
-    keyed = rows.withColumn("hash", F.xxhash64(normalised(F.col("text"))))
+    keyed = rows.select("doc", "row_id", F.xxhash64(normalised(text)).alias("hash"))
     tested = maybe_member(keyed, "hash", segments, bits, hashes, "repeats").select("doc", "row_id", "repeats")
     alone = tested.where("not repeats").select("doc")
     kept = tested.where("repeats").join(stay, F.col("row_id") == F.col("stay_id"), "left_semi").select("doc")

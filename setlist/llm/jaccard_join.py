@@ -59,7 +59,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import bloom_segments, filter_bits, maybe_member, with_row_id, written
+from setlist.llm.common import bloom_segments, filter_bits, maybe_member, numbered, written
 from setlist.llm.components import connected
 from setlist.llm.hashing import U64, mix, pieces, shingle_hashes, word_hashes
 
@@ -242,7 +242,12 @@ def near_duplicates(
     max_filter_bits: int = 1 << 31,
 ) -> DataFrame:
     """One row per row of docs: row_id, doc_id, n_shingles, component_id, first_row (the row that stands for the component)."""
-    texts = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    texts = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "jaccard-rows")
+    return _components(texts, size, percent, rounds, max_filter_bits)
+
+
+def _components(texts: DataFrame, size: int, percent: int, rounds: int = 2, max_filter_bits: int = 1 << 31) -> DataFrame:
+    """`near_duplicates` of a written table of row_id, doc_id and text."""
     sketched = written(_sketches(texts, _sum_counts(texts, size), size, percent), "jaccard-sketches")
 
     # Classes of equal sets; the class is named by its first row. Empty sets stand alone.
@@ -346,7 +351,7 @@ def _first_of_class(full: DataFrame, classes: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, with all columns of docs."""
-    placed = near_duplicates(docs, id_col, text_col, size, percent)
-    stay = placed.where("row_id = first_row").select("row_id")
-    rows = with_row_id(docs.select(F.struct("*").alias("doc")))
+    rows = numbered(docs.select(F.struct("*").alias("doc")), "jaccard-rows")
+    texts = rows.select("row_id", F.col(f"doc.{id_col}").alias("doc_id"), F.col(f"doc.{text_col}").alias("text"))
+    stay = _components(texts, size, percent).where("row_id = first_row").select("row_id")
     return rows.join(stay, "row_id", "left_semi").select("doc.*")

@@ -4,8 +4,9 @@ The model is a bigram model over all training texts, without pruning. Per word w
 P(w|v) = (c(v,w) + MU * P(w)) / (c(v) + MU), P(w) = (c(w) + 1) / (N + V + 1).
 
 The work moves n-grams to the model, not the model to the texts:
-1. Texts form blocks of some megabytes, the same on every attempt. A block sends its distinct words
-   and bigrams with their training counts, sorted and delta-coded, to parts by ranges of hash.
+1. Texts form blocks of some megabytes, written in one scan with a number each: words, and the words'
+   numbers in order. All later steps read these. A block sends its distinct words and bigrams with
+   their training counts, sorted and delta-coded, to parts by ranges of hash.
 2. A part adds up the counts of all blocks. Bigram parts build their share of the trie: contexts,
    monotone pointers and successors as Elias-Fano sequences in a memory-mapped file, one quantised
    code per bigram, and look up every block's bigrams by successor search in their context. The
@@ -121,19 +122,23 @@ def _block_id(number: int) -> int:
 
 
 def _shipped(parts: int):
-    """Blocks to rows (part, block, n, keys, counts); word parts first, bigram parts after."""
+    """Written blocks to rows (part, block, n, keys, counts); word parts first, bigram parts after."""
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, texts, _, held in _blocks(batches):
-            block = Block(texts)
-            train = np.repeat(~np.array(held, dtype=bool), block.lengths)
-            pairs, which = np.unique(_bigrams(_before(block.tokens, block.lengths), block.tokens), return_inverse=True)
-            for base, keys, index in ((0, block.words, block.which), (parts, pairs, which)):
+        for row in (batch.slice(i, 1).to_pydict() for batch in batches for i in range(batch.num_rows)):
+            block = row["block"][0]
+            words = _unpack_sorted(row["data"][0], row["n"][0])
+            index_of = _unpack(row["stream"][0], row["n_stream"][0]).astype(np.int64)
+            lengths = np.array(row["lengths"][0], dtype=np.int64)
+            tokens = words[index_of]
+            train = np.repeat(~np.array(row["held"][0], dtype=bool), lengths)
+            pairs, which = np.unique(_bigrams(_before(tokens, lengths), tokens), return_inverse=True)
+            for base, keys, index in ((0, words, index_of), (parts, pairs, which)):
                 counts = np.bincount(index[train], minlength=len(keys)).astype(U64)
                 ends = np.searchsorted(_part(keys >> U64(32), parts), np.arange(parts), side="right")
                 rows = {"part": [], "block": [], "n": [], "keys": [], "counts": []}
                 for part, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
                     if b > a:
-                        for name, value in zip(rows, (base + part, _block_id(number), int(b - a), _pack_sorted(keys[a:b]), _pack(counts[a:b]))):
+                        for name, value in zip(rows, (base + part, block, int(b - a), _pack_sorted(keys[a:b]), _pack(counts[a:b]))):
                             rows[name].append(value)
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(
                     [("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
@@ -259,13 +264,14 @@ def score_texts(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", te
     id_spark = texts.schema["doc_id"].dataType
     id_name, id_arrow = id_spark.simpleString(), to_arrow_type(id_spark)
 
-    shipped = texts.mapInArrow(_shipped(parts), "part long, block long, n long, keys binary, counts binary")
+    stream_type = f"block long, part long, n long, data binary, stream binary, n_stream long, ids array<{id_name}>, held array<boolean>, lengths array<long>"
+    streams = written(texts.mapInArrow(_streams(id_arrow), stream_type), "lm-blocks")
+    shipped = streams.select("block", "n", "data", "stream", "n_stream", "held", "lengths").mapInArrow(
+        _shipped(parts), "part long, block long, n long, keys binary, counts binary")
     answers = written(
         shipped.groupBy("part").applyInArrow(_answered(parts), "block long, part long, n long, data binary, n_tokens long, n_words long"),
         "lm-answers")
     total = answers.where("block = -1").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    stream_type = f"block long, part long, n long, data binary, stream binary, n_stream long, ids array<{id_name}>, held array<boolean>, lengths array<long>"
-    streams = texts.mapInArrow(_streams(id_arrow), stream_type)
     together = streams.unionByName(answers.where("block >= 0").select("block", "part", "n", "data"), allowMissingColumns=True)
     result = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return together.groupBy("block").applyInArrow(_scored(parts, int(total[0]), int(total[1]), id_arrow), result)
