@@ -8,6 +8,13 @@ from setlist.schema import TABLES
 from test_merge import artist, landed_world, track
 
 
+def test_listing_order_of_a_page_with_very_many_items(spark):
+    load = landed_world(spark, [{"id": "a"}, {"id": "b"}], [("a", 0, 0, []), ("b", 0, 0, [])], [], [], [])
+    listing = spark.createDataFrame([("a", 0, 1_000_001), ("b", 1, 0)], "spotify_id string, page_no bigint, pos int")
+    order = {r["playlist_key"]: r["load_seq"] for r in jobs.in_listing_order(load, listing).track_pages.collect()}
+    assert order["b"] < order["a"]  # b is further down the listing, so older, and applies first
+
+
 def test_load_latest_then_all(spark, tmp_path):
     t1, t2, t3 = track("t1", "al"), track("t2", "al"), track("t3", "al", name="newest name")
     old3 = track("t3", "al", name="older name")
