@@ -3,8 +3,10 @@
 Every paragraph gives points, for being one, for its length and its commas, to its ancestors: all
 to the parent, half to the next, less above. A container's points are discounted by its link
 density. The best container is kept (widened to the article around it), and with it those siblings
-that read like text. Parts that are boilerplate by tag, role or class name give nothing and are
-left out wherever they stand.
+that read like text. Parts that are boilerplate by tag or role give nothing and are left out
+wherever they stand. So are parts that are boilerplate by their class or id, unless they hold most of
+the paragraph points: of those in articles, if the page has any, else of the page's. In an article
+only whole class names count; the ids of sections and headings, made from titles, never do.
 
 Each page is parsed on its own in a task; pages are not shuffled.
 
@@ -37,6 +39,9 @@ FURNITURE_NAMES = set(
     "toolbar pagination pager skip".split())
 HEAD_NAMES = {"header", "masthead", "topbar", "branding"}
 MAIN = {"article", "main"}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Class names that begin with these words state what a part has or is filed under, not what it is.
+ABOUT = {"no", "not", "has", "with", "without", "is", "category", "tag", "tagged", "type", "format", "status", "topic"}
 ROOTS = {"html", "body", "article", "main"}
 # An element of the key's group ends an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -51,6 +56,7 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.dead, self.inside = ["#root"], [-1], [False], [False]
+        self.named, self.main, self.article = [False], [False], [False]  # boilerplate by name, if not the bulk
         self.stack, self.open = [0], Counter()
         self.parts: list[str] = []
         self.links, self.link_parts = 0, 0
@@ -77,6 +83,11 @@ class _Page(HTMLParser):
         within = self.inside[parent] or tag in MAIN
         self.inside.append(within)
         self.dead.append(self.dead[parent] or self.is_furniture(tag, attrs, self.inside[parent]))
+        named = self.has_name(tag, attrs, self.inside[parent], self.article[parent])
+        self.named.append(named and tag not in ROOTS)
+        # A comment may be an article; it does not count as one of the page's.
+        self.main.append(not named if tag in MAIN else self.main[parent])
+        self.article.append(self.article[parent] or tag == "article")
         self.stack.append(len(self.tags) - 1)
         self.open[tag] += 1
 
@@ -86,9 +97,20 @@ class _Page(HTMLParser):
         if tag in ROOTS:
             return False
         given = dict(attrs)
-        if "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or (given.get("role") or "").lower() in ROLES:
-            return True
-        names = set(NAME_PARTS.split(f"{given.get('class') or ''} {given.get('id') or ''}".lower()))
+        return "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or (given.get("role") or "").lower() in ROLES
+
+    def has_name(self, tag: str, attrs: list[tuple[str, str | None]], in_main: bool, in_article: bool) -> bool:
+        given = dict(attrs)
+        tokens = (given.get("class") or "").lower().split()
+        if in_article and tag not in MAIN:
+            return any(token in FURNITURE_NAMES for token in tokens)
+        if tag != "section" and tag not in HEADING and "section" not in tokens:
+            tokens += (given.get("id") or "").lower().split()
+        names = set()
+        for token in tokens:
+            words = [word for word in NAME_PARTS.split(token) if word]
+            if words and words[0] not in ABOUT:
+                names.update(words)
         return bool(names & FURNITURE_NAMES) or not in_main and bool(names & HEAD_NAMES)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -127,7 +149,7 @@ class _Page(HTMLParser):
         if self.parts:
             text = SPACES.sub(" ", "".join(self.parts)).strip(" ")
             node = self.stack[-1]
-            while self.tags[node] in INLINE and not self.dead[node]:
+            while self.tags[node] in INLINE and not self.dead[node] and not self.named[node]:
                 node = self.parents[node]
             if text and not self.dead[node]:
                 self.blocks.append((node, text, self.link_parts))
@@ -136,6 +158,34 @@ class _Page(HTMLParser):
     def finish(self) -> None:
         self.close()
         self.flush()
+        if any(self.named):
+            self.drop_named()
+
+    def drop_named(self) -> None:
+        """Leave out the blocks of parts that are boilerplate by name and not the bulk of the text."""
+        points, in_main = [0.0] * len(self.tags), [0.0] * len(self.tags)
+        for node, text, link_chars in self.blocks:
+            value = _value(text) * (1 - min(1, link_chars / len(text)))
+            points[node] += value
+            in_main[node] += value * self.main[node]
+        for node in range(len(self.tags) - 1, 0, -1):  # parents come before their children
+            points[self.parents[node]] += points[node]
+            in_main[self.parents[node]] += in_main[node]
+        counted = in_main if in_main[0] else points
+        gone = [False] * len(self.tags)
+        for node in range(1, len(self.tags)):
+            gone[node] = gone[self.parents[node]] or self.named[node] and 2 * counted[node] <= counted[0]
+        kept = []
+        for node, text, link_chars in self.blocks:
+            if not gone[node]:
+                while self.tags[node] in INLINE:
+                    node = self.parents[node]
+                kept.append((node, text, link_chars))
+        self.blocks = kept
+
+
+def _value(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
 
 
 def _ancestors(page: _Page, node: int, most: int) -> Iterator[int]:
@@ -156,7 +206,7 @@ def main_text(html: str | None) -> str:
     points: Counter = Counter()
     size, linked = Counter(), Counter()
     for node, text, link_chars in page.blocks:
-        value = 1 + text.count(",") + min(len(text) / 100, 3)
+        value = _value(text)
         leaf = page.tags[node] in ("p", "pre", "td", "blockquote", "li", "h1", "h2", "h3", "h4", "h5", "h6")
         chain = list(_ancestors(page, node, 5)) if leaf else [node, *_ancestors(page, node, 4)]
         for depth, above in enumerate(chain):
