@@ -180,5 +180,8 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text_col:
 
 
 def reject_unknown(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", length: int = 400) -> DataFrame:
-    """The rows of docs with a known language, with all their columns."""
-    return predict_languages(docs, profiles, text_col, length).where(F.col("lang_pred") != UNKNOWN).select("doc.*")
+    """The rows of docs with a known language, with all their columns.
+
+    A text that shares no n-gram with any profile has score 0: its label is only the first in order.
+    """
+    return predict_languages(docs, profiles, text_col, length).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select("doc.*")
