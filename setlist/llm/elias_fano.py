@@ -92,7 +92,7 @@ class EliasFano:
 
 
 class NgramTrie:
-    """Contexts, monotone pointers to their successors, and a code of eight bits per successor.
+    """Contexts, monotone pointers to their successors, and a code of 16 bits per successor.
 
     Keys are sorted 64-bit numbers: context in the upper half, successor in the lower half.
     """
@@ -107,11 +107,11 @@ class NgramTrie:
         number = np.repeat(np.arange(self.n_contexts, dtype=U64), np.diff(np.r_[first, len(keys)]))
         # Successors grow within a context; the context's number in front makes the whole level grow.
         self.successors = EliasFano((number << U64(32)) | (keys & U64(0xFFFFFFFF)), max(1, self.n_contexts) << 32, file)
-        self.codes = file.hold(codes.astype(np.uint8))
+        self.codes = file.hold(codes.astype(np.uint16))
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """Code of each sorted query key, 0 where it is missing."""
-        found = np.zeros(len(keys), dtype=np.uint8)
+        found = np.zeros(len(keys), dtype=np.uint16)
         if not self.n_contexts or not len(keys):
             return found
         upper = keys >> U64(32)

@@ -43,8 +43,8 @@ MU = 2.0
 BEGIN, END = U64(0xB5297A4D3F84D5B5), U64(0x68E31DA4B5297A4D)
 LOW = U64(0xFFFFFFFF)
 
-# Counts behind the codes: exact ones, then steps of 8 %.
-CODEBOOK = np.array([*range(65), *(64 * 1.08 ** k for k in range(1, 191))])
+# Counts behind the codes of 16 bits: exact ones, then steps of 8 % past the greatest 64-bit count.
+CODEBOOK = np.array([*range(65), *(64 * 1.08 ** k for k in range(1, 515))])
 _LIMITS = (CODEBOOK[1:] + CODEBOOK[:-1]) / 2
 
 
@@ -226,7 +226,7 @@ def _scored(parts: int, n_tokens: int, n_words: int, id_type: pa.DataType):
             elif p < parts:
                 counts.append(_unpack(table.column("data")[i].as_py(), n))
             else:
-                codes.append(np.frombuffer(pa.decompress(table.column("data")[i].as_py(), decompressed_size=n, codec="zstd", asbytes=True), dtype=np.uint8))
+                codes.append(np.frombuffer(pa.decompress(table.column("data")[i].as_py(), decompressed_size=2 * n, codec="zstd", asbytes=True), dtype=np.uint16))
         words = _unpack_sorted(table.column("data")[own].as_py(), sizes[own])
         count = np.concatenate(counts).astype(np.float64)
         which = _unpack(table.column("stream")[own].as_py(), table.column("n_stream")[own].as_py()).astype(np.int64)
