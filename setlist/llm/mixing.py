@@ -5,6 +5,9 @@ expected size of the mixture is that of the corpus. Each row draws its number of
 inverting the Poisson distribution at a uniform number hashed from (seed, id, text): the draw is
 the same on every attempt. Copies are then shuffled globally by a hash order.
 
+A source may be so small that its rows have very many copies each. Its draws are made in chunks, once
+for each (id, source, text), and its copies are numbered in chunks, dealt over tasks.
+
 Rates are one row per source. Up to `broadcast_sources` counted sources they are broadcast, beyond
 that Spark joins them (and splits a hot source).
 
@@ -21,6 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STEP = 500.0  # rates above this are drawn as a sum, so that exp(-rate) stays far from underflow
+GREAT = 50_000.0  # rates above this are drawn and copied in chunks
+DRAWS = 100  # of one chunk
+COPIES = 100_000  # of one chunk
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float], source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -62,18 +68,38 @@ def mixed(
 ) -> DataFrame:
     """Copies in global hash order: doc (all columns of docs as a struct), copy (from 0), n_copies, rate, shuffle_key."""
     rates = source_rates(docs, weights, source_col, text_col).select(F.col("source").alias("rate_source"), "rate")
-    side = F.broadcast(rates) if rates.count() <= broadcast_sources else rates
+    n_sources, greatest = rates.agg(F.count("*"), F.coalesce(F.max("rate"), F.lit(0.0))).first()
+    side = F.broadcast(rates) if n_sources <= broadcast_sources else rates
     rows = docs.select(
         F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"))
     rated = rows.join(side, F.col("source").eqNullSafe(F.col("rate_source")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int")
-    # Most rates need one draw; a great rate is a sum of equal independent parts.
-    draws = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: poisson_inverse(_uniform(seed, "id", "text_md5", j), F.col("rate") / F.col("parts"))),
-        F.lit(0), lambda acc, n: acc + n)
-    counted = rated.withColumn("parts", parts).withColumn("n_copies", draws)
-    copies = counted.where("n_copies > 0").select(
-        "doc", "id", "text_md5", "rate", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("long")
+
+    def drawn(first, last):
+        # Most rates need one draw; a great rate is a sum of equal independent parts.
+        return F.aggregate(
+            F.transform(F.sequence(first, last), lambda j: poisson_inverse(_uniform(seed, "id", "text_md5", j), F.col("rate") / F.col("parts"))),
+            F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+    parted = rated.withColumn("parts", parts)
+    few = parted if greatest <= GREAT else parted.where(F.col("rate") <= GREAT)
+    copies = few.withColumn("n_copies", drawn(F.lit(1).cast("long"), F.col("parts"))).where("n_copies > 0").select(
+        "doc", "id", "text_md5", "rate", "n_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("copy"))
+    if greatest > GREAT:
+        many = parted.where(F.col("rate") > GREAT)
+        key = ["id", "source", "text_md5"]
+        chunks = many.select(*key, "rate", "parts").distinct().withColumn(
+            "first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"), F.lit(DRAWS).cast("long")))).repartition(*key, "first")
+        sums = chunks.withColumn("n", drawn(F.col("first"), F.least("parts", F.col("first") + (DRAWS - 1)))).groupBy(*key).agg(F.sum("n").alias("n_copies"))
+        sums = sums.where("n_copies > 0").select(*[F.col(c).alias(f"of_{c}") for c in key], "n_copies")
+        same = F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("text_md5") == F.col("of_text_md5"))
+        pieces = many.join(sums, same).select(
+            "doc", "id", "text_md5", "rate", "n_copies",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1, F.lit(COPIES).cast("long"))).alias("first")
+        ).repartition("id", "text_md5", "first")
+        copies = copies.unionByName(pieces.select(
+            "doc", "id", "text_md5", "rate", "n_copies",
+            F.explode(F.sequence(F.col("first"), F.least(F.col("first") + (COPIES - 1), F.col("n_copies") - 1))).alias("copy")))
     order = F.xxhash64(F.lit(seed), F.col("id"), F.col("text_md5"), F.col("copy"))
     return copies.select("doc", "copy", "n_copies", "rate", order.alias("shuffle_key")).orderBy("shuffle_key", "copy")
