@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF = "/root/testdata/sf0.001"
+from helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -30,9 +30,3 @@ def bound(spark):
     from setlist.sources.binding import bound_catalog
 
     return bound_catalog(spark, SF)
-
-
-def rows(df, *columns):
-    """Rows of a frame as sorted tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from setlist.catalog import catalog_from_frames
 from setlist.operators import genres, relations, sinks, stats, timeline
 from setlist.plans import pages

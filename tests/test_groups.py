@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from setlist.operators.groups import joined_text, ordered_values, position_block, positions, running_total
 from setlist.operators.numbering import number_new_keys
 

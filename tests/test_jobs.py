@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from helpers import rows
 from setlist.catalog import catalog_from_frames
 from setlist.operators import search as S
 from setlist.plans import jobs

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from setlist.catalog import catalog_from_frames
 from setlist.operators import ingest
 from setlist.operators.merge import append_missing, merge_by_key

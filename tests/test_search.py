@@ -3,7 +3,7 @@ import uuid
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from setlist.operators import search as S
 from setlist.session import shared_dir
 

@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from helpers import rows
 from setlist.operators import sinks
 from setlist.sources.tables import read_catalog
 from setlist.streaming.loader import follow_landing, version_folder
