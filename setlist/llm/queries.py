@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import decontaminate, exact_dedup, html_main, jaccard_join, language_id, line_dedup, lm_score, mixing, secrets, url_filter
+from setlist.llm import decontaminate, exact_dedup, hard_negatives, html_main, jaccard_join, language_id, line_dedup, lm_score, mixing, secrets, url_filter
 from setlist.session import tune
 
 
@@ -86,6 +86,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.hard_negatives(
+        rows.withColumn("mined_label", moved), F.col("vec_id") % 50 == 0, "vec_id", "mined_label", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_score": op2_lm_score,
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # Fixed value: the white space of the contracts, as a regular expression.
@@ -147,4 +155,17 @@ ORACLES: dict[str, str] = {
                row_number() over w = 1 as kept, text_sha256
         from n window w as (partition by text_sha256 order by n_chars desc, doc_id
                             rows between unbounded preceding and unbounded following)""",
+    "op13_hard_negatives": """
+        with q as (select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label,
+                          list_transform(embedding, lambda x: floor(256 * x::double)) as v
+                   from embeddings where label is not null and embedding is not null
+                   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scores as (select a.vec_id as anchor_id, r.vec_id as row_id, a.label = r.label as same, list_dot_product(a.v, r.v)::bigint as score
+                   from q a, q r where a.vec_id % 50 = 0 and a.vec_id <> r.vec_id),
+        pos as (select anchor_id, row_id as positive_id, score as positive_score from scores where same
+                qualify row_number() over (partition by anchor_id order by score desc, row_id) <= 5)
+        select p.anchor_id, positive_id, row_number() over w::integer as rank, s.row_id as negative_id, positive_score, s.score as negative_score
+        from pos p join scores s on s.anchor_id = p.anchor_id and not s.same and 100 * s.score between 50 * positive_score and 95 * positive_score
+        window w as (partition by p.anchor_id, positive_id order by s.score desc, s.row_id)
+        qualify row_number() over w <= 3""",
 }
