@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import decontaminate, exact_dedup, hard_negatives, html_main, jaccard_join, language_id, line_dedup, lm_score, mixing, secrets, url_filter
+from setlist.llm import decontaminate, exact_dedup, hard_negatives, html_main, jaccard_join, language_id, line_dedup, lm_score, manifest, mixing, secrets, url_filter
 from setlist.session import tune
 
 
@@ -86,6 +86,24 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
 
 
+# Fixed value: the order of a leaf's fields.
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    digest = lambda fields: F.sha2(manifest.field_text(fields), 256)
+    changed = [c if c != "n_chars" else "n_chars_changed" for c in LEAF_FIELDS]
+    leaves = docs.withColumn("n_chars_changed", F.col("n_chars") + 1).select(
+        "doc_id", "lang", digest(LEAF_FIELDS).alias("leaf"), F.when(tampered, digest(changed)).alias("claimed"))
+    proofs = manifest.Manifest(leaves, "lang", ["doc_id"], "leaf").proofs()
+    folded = manifest.folded(F.coalesce("claimed", "leaf"), F.col("steps"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "steps.digest"), 256).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
@@ -104,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -155,6 +174,47 @@ ORACLES: dict[str, str] = {
                row_number() over w = 1 as kept, text_sha256
         from n window w as (partition by text_sha256 order by n_chars desc, doc_id
                             rows between unbounded preceding and unbounded following)""",
+    # crc32 by its table of 256 entries, made from the polynomial.
+    "op12_merkle_manifest": """
+        with recursive crc_steps(b, c, k) as (
+            select i, i, 0 from range(256) r(i)
+            union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc_steps where k < 8),
+        crc as (select list(c order by b) as entries from crc_steps where k = 8),
+        docs as (select *, coalesce(lang, '') as l, lang is not null as has_lang,
+            xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda d: ascii(d)::bigint)),
+                lambda a, x: xor(a >> 8, entries[xor(a & 255, x) + 1])), 4294967295) % 7 = 0 as tampered from documents, crc),
+        texts as (select doc_id, l, has_lang, tampered,
+            coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+              || coalesce(strlen(lang) || ':' || lang, '-') as head,
+            n_chars, coalesce(strlen(text) || ':' || text, '-') as tail from docs),
+        leaves as (select doc_id, l, has_lang,
+            sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+            sha256(head || coalesce(strlen((n_chars + tampered::int)::varchar) || ':' || (n_chars + tampered::int), '-') || tail) as claimed,
+            row_number() over (partition by has_lang, l order by doc_id) - 1 as idx, count(*) over (partition by has_lang, l) as n from texts),
+        tree(has_lang, l, lvl, idx, n, d) as (
+            select has_lang, l, 0, idx, n, leaf from leaves
+            union all select has_lang, l, lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(d, '' order by idx))
+            from tree where n > 1 group by has_lang, l, lvl, idx // 2),
+        subs as (select has_lang, l, d as subroot, row_number() over (order by has_lang, l) - 1 as idx, count(*) over () as n
+                 from tree where n = 1),
+        top(lvl, idx, n, d) as (
+            select 0, idx, n, subroot from subs
+            union all select lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(d, '' order by idx))
+            from top where n > 1 group by lvl, idx // 2),
+        up(doc_id, has_lang, l, lvl, idx, n, d, sibs) as (
+            select doc_id, has_lang, l, 0, idx, n, claimed, '' from leaves
+            union all select u.doc_id, u.has_lang, u.l, u.lvl + 1, u.idx // 2, (u.n + 1) // 2,
+                sha256(case when u.idx % 2 = 1 then t.d || u.d else u.d || coalesce(t.d, '') end), u.sibs || coalesce(t.d, '')
+            from up u left join tree t on t.has_lang = u.has_lang and t.l = u.l and t.lvl = u.lvl and t.idx = xor(u.idx, 1)
+            where u.n > 1),
+        over(doc_id, has_lang, l, lvl, idx, n, d, sibs) as (
+            select u.doc_id, u.has_lang, u.l, 0, s.idx, s.n, u.d, u.sibs from up u join subs s using (has_lang, l) where u.n = 1
+            union all select o.doc_id, o.has_lang, o.l, o.lvl + 1, o.idx // 2, (o.n + 1) // 2,
+                sha256(case when o.idx % 2 = 1 then t.d || o.d else o.d || coalesce(t.d, '') end), o.sibs || coalesce(t.d, '')
+            from over o left join top t on t.lvl = o.lvl and t.idx = xor(o.idx, 1) where o.n > 1)
+        select o.doc_id, v.leaf, s.subroot, r.d as root, sha256(o.sibs) as proof_sha256, o.d as folded_root, o.d = r.d as verified
+        from over o join leaves v using (doc_id) join subs s on s.has_lang = o.has_lang and s.l = o.l
+        cross join (select d from top where n = 1) r where o.n = 1""",
     "op13_hard_negatives": """
         with q as (select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label,
                           list_transform(embedding, lambda x: floor(256 * x::double)) as v
