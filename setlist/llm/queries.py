@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import decontaminate, exact_dedup, hard_negatives, html_main, jaccard_join, language_id, line_dedup, lm_score, manifest, mixing, secrets, url_filter
+from setlist.llm import decontaminate, exact_dedup, hard_negatives, html_main, jaccard_join, language_id, lattice_join, line_dedup, lm_score, manifest, mixing, secrets, url_filter
 from setlist.session import tune
 
 
@@ -86,6 +86,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
 
 
+def op11_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice_join.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.98)
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 # Fixed value: the order of a leaf's fields.
 LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_embedding_neardup": op11_embedding_neardup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_hard_negatives": op13_hard_negatives,
 }
