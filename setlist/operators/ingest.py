@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setlist.catalog import Catalog
 from setlist.functions.labels import title_date
-from setlist.operators.merge import Hold, append_missing, fold_by_key, merge_by_key, present
+from setlist.operators.merge import Change, Hold, fold_by_key, merge_by_key, missing_rows, present
 from setlist.operators.numbering import number_new_keys
 from setlist.schema import FEATURE_COLUMNS, TABLES
 from setlist.sources import payloads as P
@@ -46,11 +46,12 @@ def _lazy(df: DataFrame) -> DataFrame:
 # --- headers -----------------------------------------------------------------------------
 
 
-def merge_playlists(playlist: DataFrame, rows: DataFrame, hold: Hold = _lazy) -> DataFrame:
+def merge_playlists(playlist: DataFrame, rows: DataFrame, hold: Hold = _lazy, changed_only: bool = False) -> DataFrame:
     """Name, description and url always overwrite; images if the key is there, date if the name has one."""
     dated = rows.withColumn("date", title_date(F.col("name"))).withColumn(present("date"), F.col("date").isNotNull())
     return merge_by_key(
-        playlist, dated, "spotify_id", "playlist_id", ["name", "description", "spotify_url"], ["images", "date"], hold=hold
+        playlist, dated, "spotify_id", "playlist_id", ["name", "description", "spotify_url"], ["images", "date"], hold=hold,
+        changed_only=changed_only,
     )
 
 
@@ -63,9 +64,12 @@ def patch_images(playlist: DataFrame, rows: DataFrame) -> DataFrame:
 # --- tracks ------------------------------------------------------------------------------
 
 
-def merge_tracks(track: DataFrame, rows: DataFrame, hold: Hold = _lazy) -> DataFrame:
-    """All mapped track fields overwrite; the album stays as it is."""
-    return merge_by_key(track, rows, "spotify_id", "track_id", TRACK_FIELDS, hold=hold)
+def merge_tracks(track: DataFrame, rows: DataFrame, hold: Hold = _lazy, changed_only: bool = False) -> DataFrame:
+    """All mapped track fields overwrite; the album stays as it is.
+
+    A track that stands on a load's pages more than once is taken from its last place there.
+    """
+    return merge_by_key(track, rows, "spotify_id", "track_id", TRACK_FIELDS, [], "load_order", hold, changed_only)
 
 
 def with_track_ids(rows: DataFrame, track: DataFrame, key: str) -> DataFrame:
@@ -76,41 +80,60 @@ def with_artist_ids(rows: DataFrame, artist: DataFrame, key: str) -> DataFrame:
     return rows.join(artist.select(F.col("spotify_id").alias(key), "artist_id"), key)
 
 
-def replace_playlist_tracks(
-    playlist_track: DataFrame, items: DataFrame, playlist: DataFrame, track: DataFrame
-) -> DataFrame:
+def played_tracks(items: DataFrame, playlist: DataFrame, track: DataFrame) -> Change:
     """Link rows of the loaded playlists are replaced by the items of their last load."""
     last = items.groupBy("playlist_key").agg(F.max("load_seq").alias("load_seq"))
     plays = items.select("playlist_key", "load_seq", "position", F.col("id").alias("track_key"))
     loaded = last.join(playlist.select(F.col("spotify_id").alias("playlist_key"), "playlist_id"), "playlist_key")
     new = with_track_ids(plays.join(loaded, ["playlist_key", "load_seq"]), track, "track_key")
-    kept = playlist_track.join(loaded.select("playlist_id"), "playlist_id", "left_anti")
-    return kept.unionByName(new.select("playlist_id", "track_id", F.col("position").cast("bigint").alias("sequence")))
+    rows = new.select("playlist_id", "track_id", F.col("position").cast("bigint").alias("sequence"))
+    return Change(rows, "playlist_id", loaded.select("playlist_id"))
 
 
-def append_track_artists(track_artist: DataFrame, rows: DataFrame, track: DataFrame, artist: DataFrame) -> DataFrame:
+def replace_playlist_tracks(
+    playlist_track: DataFrame, items: DataFrame, playlist: DataFrame, track: DataFrame
+) -> DataFrame:
+    return played_tracks(items, playlist, track).applied(playlist_track)
+
+
+def new_track_artists(track_artist: DataFrame, rows: DataFrame, track: DataFrame, artist: DataFrame) -> DataFrame:
+    """Links of the payloads that are not there yet."""
     named = rows.select(F.col("spotify_id").alias("track_key"), F.explode("artists.id").alias("artist_key")).distinct()
-    links = with_artist_ids(with_track_ids(named, track, "track_key"), artist, "artist_key")
-    return append_missing(track_artist, links)
+    return missing_rows(track_artist, with_artist_ids(with_track_ids(named, track, "track_key"), artist, "artist_key"))
+
+
+def append_track_artists(track_artist: DataFrame, rows: DataFrame, track: DataFrame, artist: DataFrame) -> DataFrame:
+    return track_artist.unionByName(new_track_artists(track_artist, rows, track, artist))
 
 
 # --- artists and genres --------------------------------------------------------------------
 
 
 def artist_mentions(rows: DataFrame, phase: int) -> DataFrame:
-    """Simplified artists inside track or album payloads: id, name and url only."""
-    named = rows.select("load_seq", F.explode("artists").alias("a"))
+    """Simplified artists inside track or album payloads: id, name and url only.
+
+    They apply in the order of load, kind of payload, place of the payload and place in its list.
+    """
+    at = F.col("load_order") if "load_order" in rows.columns else F.struct("load_seq", F.col("spotify_id").alias("source"), F.lit(0).cast("bigint").alias("position"))
+    named = rows.select(at.alias("at"), F.posexplode("artists").alias("place", "a"))
     return named.select(
-        F.col("a.id").alias("spotify_id"), F.struct("load_seq", F.lit(phase).alias("phase")).alias("load_order"),
+        F.col("a.id").alias("spotify_id"), _artist_order(F.col("at"), phase, F.col("place")).alias("load_order"),
         "a.name", F.col("a.external_urls.spotify").alias("spotify_url"),
     )
 
 
+def _artist_order(at: Column, phase: int, place: Column) -> Column:
+    return F.struct(
+        at["load_seq"].alias("load_seq"), F.lit(phase).alias("phase"), at["source"].alias("source"), at["position"].alias("position"),
+        place.alias("place"))
+
+
 def artist_details(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("load_order", F.struct("load_seq", F.lit(FROM_ARTIST).alias("phase"))).drop("load_seq")
+    at = F.struct("load_seq", F.lit("").alias("source"), F.lit(0).cast("bigint").alias("position"))
+    return rows.withColumn("load_order", _artist_order(at, FROM_ARTIST, F.lit(0))).drop("load_seq")
 
 
-def merge_artists(artist: DataFrame, *sources: DataFrame, hold: Hold = _lazy) -> DataFrame:
+def merge_artists(artist: DataFrame, *sources: DataFrame, hold: Hold = _lazy, changed_only: bool = False) -> DataFrame:
     """Name and url always overwrite; popularity, followers and images if the key is there."""
     optional = ["popularity", "followers", "images"]
     types = {f.name: f.dataType for f in TABLES["artist"]}
@@ -124,7 +147,7 @@ def merge_artists(artist: DataFrame, *sources: DataFrame, hold: Hold = _lazy) ->
     first, *rest = map(shaped, sources)
     for more in rest:
         first = first.unionByName(more)
-    return merge_by_key(artist, first, "spotify_id", "artist_id", ["name", "spotify_url"], optional, "load_order", hold)
+    return merge_by_key(artist, first, "spotify_id", "artist_id", ["name", "spotify_url"], optional, "load_order", hold, changed_only)
 
 
 def artists_to_refresh(catalog: Catalog, playlists: DataFrame | None = None) -> DataFrame:
@@ -145,38 +168,51 @@ def loaded_artists(catalog: Catalog, tracks: DataFrame, track: DataFrame) -> Dat
     return tracks.select(F.explode("artists.id").alias("spotify_id")).unionByName(known).distinct()
 
 
+def new_genres(genre: DataFrame, names: DataFrame) -> DataFrame:
+    fresh = names.select("name").dropna().distinct().join(genre, "name", "left_anti")
+    return number_new_keys(fresh, "name", "genre_id", genre).select(genre.columns)
+
+
 def merge_genres(genre: DataFrame, names: DataFrame) -> DataFrame:
     """Genres not known by name get a row; known ones stay, duplicates included."""
-    fresh = names.select("name").dropna().distinct().join(genre, "name", "left_anti")
-    return genre.unionByName(number_new_keys(fresh, "name", "genre_id", genre).select(genre.columns))
+    return genre.unionByName(new_genres(genre, names))
 
 
 def genre_mentions(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("spotify_id").alias("artist_key"), F.explode("genres").alias("name")).dropna().distinct()
 
 
-def append_artist_genres(artist_genre: DataFrame, mentions: DataFrame, artist: DataFrame, genre: DataFrame) -> DataFrame:
+def new_artist_genres(artist_genre: DataFrame, mentions: DataFrame, artist: DataFrame, genre: DataFrame) -> DataFrame:
     """Links for genre names an artist does not have yet; of equal names the first genre row is taken."""
     had = artist_genre.join(genre, "genre_id").select("artist_id", "name")
     missing = with_artist_ids(mentions, artist, "artist_key").join(had, ["artist_id", "name"], "left_anti")
     first = genre.groupBy("name").agg(F.min("genre_id").alias("genre_id"))
-    return append_missing(artist_genre, missing.join(first, "name"))
+    return missing_rows(artist_genre, missing.join(first, "name"))
+
+
+def append_artist_genres(artist_genre: DataFrame, mentions: DataFrame, artist: DataFrame, genre: DataFrame) -> DataFrame:
+    return artist_genre.unionByName(new_artist_genres(artist_genre, mentions, artist, genre))
 
 
 # --- albums --------------------------------------------------------------------------------
 
 
-def merge_albums(album: DataFrame, rows: DataFrame, hold: Hold = _lazy) -> DataFrame:
+def merge_albums(album: DataFrame, rows: DataFrame, hold: Hold = _lazy, changed_only: bool = False) -> DataFrame:
     """Name, images and the url made from the id overwrite; label and popularity if the key is there."""
     return merge_by_key(
-        album, rows, "spotify_id", "album_id", ["name", "images", "spotify_url"], ["label", "popularity"], hold=hold
+        album, rows, "spotify_id", "album_id", ["name", "images", "spotify_url"], ["label", "popularity"], hold=hold,
+        changed_only=changed_only,
     )
 
 
-def append_album_artists(album_artist: DataFrame, rows: DataFrame, album: DataFrame, artist: DataFrame) -> DataFrame:
+def new_album_artists(album_artist: DataFrame, rows: DataFrame, album: DataFrame, artist: DataFrame) -> DataFrame:
     named = rows.select(F.col("spotify_id").alias("album_key"), F.explode("artists.id").alias("artist_key")).distinct()
     keyed = named.join(album.select(F.col("spotify_id").alias("album_key"), "album_id"), "album_key")
-    return append_missing(album_artist, with_artist_ids(keyed, artist, "artist_key"))
+    return missing_rows(album_artist, with_artist_ids(keyed, artist, "artist_key"))
+
+
+def append_album_artists(album_artist: DataFrame, rows: DataFrame, album: DataFrame, artist: DataFrame) -> DataFrame:
+    return album_artist.unionByName(new_album_artists(album_artist, rows, album, artist))
 
 
 def wanted_albums(track: DataFrame, rows: DataFrame) -> DataFrame:
@@ -186,14 +222,16 @@ def wanted_albums(track: DataFrame, rows: DataFrame) -> DataFrame:
     return fold_by_key(named, "spotify_id", ["album_key"], []).join(missing, "spotify_id").dropna(subset=["album_key"])
 
 
-def fill_missing_albums(track: DataFrame, wanted: DataFrame, album: DataFrame, arrived: DataFrame) -> DataFrame:
+def fill_missing_albums(
+    track: DataFrame, wanted: DataFrame, album: DataFrame, arrived: DataFrame, changed_only: bool = False
+) -> DataFrame:
     """Set the album of tracks without one, where the album's payload has arrived."""
     usable = album.select(F.col("spotify_id").alias("album_key"), F.col("album_id").alias("new_album_id")).join(
         arrived.select(F.col("spotify_id").alias("album_key")), "album_key", "left_semi"
     )
     found = wanted.join(usable, "album_key").select("track_id", "new_album_id")
     return (
-        track.join(found, "track_id", "left")
+        track.join(found, "track_id", "inner" if changed_only else "left")
         .withColumn("album_id", F.coalesce("album_id", "new_album_id"))
         .select(track.columns)
     )
@@ -208,7 +246,7 @@ def album_rejects(wanted: DataFrame, arrived: DataFrame) -> DataFrame:
 # --- audio features ---------------------------------------------------------------------------
 
 
-def attach_audio_features(audio_features: DataFrame, rows: DataFrame, track: DataFrame) -> DataFrame:
+def new_audio_features(audio_features: DataFrame, rows: DataFrame, track: DataFrame) -> DataFrame:
     """Features for tracks that have none yet."""
     fields = ["analysis_url", *FEATURE_COLUMNS]
     folded = fold_by_key(rows, "spotify_id", fields, [])
@@ -216,7 +254,11 @@ def attach_audio_features(audio_features: DataFrame, rows: DataFrame, track: Dat
         audio_features.select("track_id"), "track_id", "left_anti"
     )
     numbered = number_new_keys(fresh, "spotify_id", "features_id", audio_features)
-    return audio_features.unionByName(numbered.select(audio_features.columns))
+    return numbered.select(audio_features.columns)
+
+
+def attach_audio_features(audio_features: DataFrame, rows: DataFrame, track: DataFrame) -> DataFrame:
+    return audio_features.unionByName(new_audio_features(audio_features, rows, track))
 
 
 # --- deletes ----------------------------------------------------------------------------------
@@ -234,11 +276,12 @@ def delete_playlists(catalog: Catalog, doomed: DataFrame) -> Catalog:
 # --- whole job ----------------------------------------------------------------------------------
 
 
-def ingest(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df) -> tuple[Catalog, DataFrame]:
-    """Load everything landed; gives the new catalogue and the rejected (track, album) pairs.
+def changes(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df) -> tuple[dict[str, Change], DataFrame]:
+    """What loading everything landed changes in each table, and the rejected (track, album) pairs.
 
-    `stage` may write a finished table and hand it back read from disk: payloads are then parsed
-    once and the lineage of a long load is cut. As it stands all stays lazy.
+    Only rows that the load touches are made and staged: the catalogue's tables are looked up by
+    key, never rewritten. `stage` may write a finished frame and hand it back read from disk:
+    payloads are then parsed once and the lineage of a long load is cut.
     """
     def folded(name: str) -> Hold:
         return lambda df: stage(f"{name}_folded", df)
@@ -247,32 +290,45 @@ def ingest(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df)
     tracks = P.track_columns(items)
 
     headers = stage("playlist_rows", P.playlist_rows(landed.playlists))
-    playlist = stage("playlist", merge_playlists(catalog.playlist, headers, folded("playlist")))
-    track = stage("track_fields", merge_tracks(catalog.track, tracks, folded("track")))
-    playlist_track = stage("playlist_track", replace_playlist_tracks(catalog.playlist_track, items, playlist, track))
-
-    wanted = stage("wanted_albums", wanted_albums(track, P.track_rows(landed.tracks)))
+    playlist = Change(stage("playlist", merge_playlists(catalog.playlist, headers, folded("playlist"), True)), "playlist_id")
+    track = Change(stage("track_fields", merge_tracks(catalog.track, tracks, folded("track"), True)), "track_id")
+    lists = playlist.applied(catalog.playlist).select("spotify_id", "playlist_id")
+    played = played_tracks(items, lists, track.rows)
+    played = Change(stage("playlist_track", played.rows), "playlist_id", stage("replaced_playlists", played.gone))
+
+    after_fields = track.applied(catalog.track)
+    wanted = stage("wanted_albums", wanted_albums(after_fields, P.track_rows(landed.tracks)))
     albums = stage("album_rows", P.album_rows(P.payloads_for_ids(landed.albums, wanted.select("album_key"))))
-    album = stage("album", merge_albums(catalog.album, albums, folded("album")))
-    filled = stage("track", fill_missing_albums(track, wanted, album, albums))
+    album = Change(stage("album", merge_albums(catalog.album, albums, folded("album"), True)), "album_id")
+    filled = stage("filled_tracks", fill_missing_albums(after_fields, wanted, album.rows, albums, True))
+    track = Change(stage("track", Change(filled, "track_id").applied(track.rows)), "track_id")
 
-    details = stage("artist_rows", P.artist_rows(P.payloads_for_ids(landed.artists, loaded_artists(catalog, tracks, track))))
-    artist = stage("artist", merge_artists(
+    details = stage("artist_rows", P.artist_rows(P.payloads_for_ids(landed.artists, loaded_artists(catalog, tracks, track.rows))))
+    artist = Change(stage("artist", merge_artists(
         catalog.artist, artist_mentions(tracks, FROM_TRACK), artist_details(details), artist_mentions(albums, FROM_ALBUM),
-        hold=folded("artist"),
-    ))
-    track_artist = stage("track_artist", append_track_artists(catalog.track_artist, tracks, track, artist))
-    album_artist = stage("album_artist", append_album_artists(catalog.album_artist, albums, album, artist))
+        hold=folded("artist"), changed_only=True,
+    )), "artist_id")
 
     mentions = stage("genre_mentions", genre_mentions(details))
-    genre = stage("genre", merge_genres(catalog.genre, mentions))
-    artist_genre = stage("artist_genre", append_artist_genres(catalog.artist_genre, mentions, artist, genre))
-
-    new = dict(
-        playlist=playlist, track=filled, playlist_track=playlist_track, album=album, artist=artist,
-        track_artist=track_artist, album_artist=album_artist, genre=genre, artist_genre=artist_genre,
-    )
+    genre = Change(stage("genre", new_genres(catalog.genre, mentions)))
+    found = {
+        "playlist": playlist, "track": track, "playlist_track": played, "album": album, "artist": artist, "genre": genre,
+        "track_artist": Change(stage("track_artist", new_track_artists(catalog.track_artist, tracks, track.rows, artist.rows))),
+        "album_artist": Change(stage("album_artist", new_album_artists(catalog.album_artist, albums, album.rows, artist.rows))),
+        "artist_genre": Change(stage("artist_genre", new_artist_genres(
+            catalog.artist_genre, mentions, artist.rows, genre.applied(catalog.genre)))),
+    }
     if landed.features is not None:
         rows = stage("features_rows", P.features_rows(landed.features))
-        new["audio_features"] = stage("audio_features", attach_audio_features(catalog.audio_features, rows, filled))
-    return catalog.with_tables(**new), album_rejects(wanted, albums)
+        songs = track.applied(catalog.track).select("spotify_id", "track_id")
+        found["audio_features"] = Change(stage("audio_features", new_audio_features(catalog.audio_features, rows, songs)))
+    return found, album_rejects(wanted, albums)
+
+
+def ingest(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df) -> tuple[Catalog, DataFrame]:
+    """Load everything landed; gives the new catalogue and the rejected (track, album) pairs.
+
+    As it stands all stays lazy; see `changes` for `stage`.
+    """
+    found, rejects = changes(catalog, landed, stage)
+    return catalog.with_tables(**{name: change.applied(catalog.table(name)) for name, change in found.items()}), rejects

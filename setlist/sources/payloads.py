@@ -60,9 +60,14 @@ def track_rows(payloads: DataFrame) -> DataFrame:
 
 
 def track_columns(tracks: DataFrame) -> DataFrame:
-    """Payload fields of a track under the catalogue's column names; album and artists stay nested."""
+    """Payload fields of a track under the catalogue's column names; album and artists stay nested.
+
+    `load_order` is where the payload stands in its load: on a page by playlist and position.
+    """
+    place = ("playlist_key", "position") if "position" in tracks.columns else (F.lit(""), F.lit(0).cast("bigint"))
+    order = F.struct("load_seq", *[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(place, ("source", "position"))])
     return tracks.select(
-        F.col("id").alias("spotify_id"), "load_seq", "name", "duration_ms", "explicit", "popularity",
+        F.col("id").alias("spotify_id"), "load_seq", order.alias("load_order"), "name", "duration_ms", "explicit", "popularity",
         F.col("external_ids.isrc").alias("isrc_id"), F.col("external_urls.spotify").alias("spotify_url"),
         "preview_url", "artists", "album",
     )
