@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setlist.catalog import Catalog
 from setlist.functions.labels import title_date
@@ -115,22 +116,26 @@ def artist_mentions(rows: DataFrame, phase: int) -> DataFrame:
     They apply in the order of load, kind of payload, place of the payload and place in its list.
     """
     at = F.col("load_order") if "load_order" in rows.columns else F.struct("load_seq", F.col("spotify_id").alias("source"), F.lit(0).cast("bigint").alias("position"))
-    named = rows.select(at.alias("at"), F.posexplode("artists").alias("place", "a"))
+    named = rows.select("load_seq", at.alias("at"), F.posexplode("artists").alias("place", "a"))
     return named.select(
-        F.col("a.id").alias("spotify_id"), _artist_order(F.col("at"), phase, F.col("place")).alias("load_order"),
+        F.col("a.id").alias("spotify_id"), _artist_order(named, F.col("at"), phase, F.col("place")).alias("load_order"),
         "a.name", F.col("a.external_urls.spotify").alias("spotify_url"),
     )
 
 
-def _artist_order(at: Column, phase: int, place: Column) -> Column:
+def _artist_order(rows: DataFrame, at: Column, phase: int, place: Column) -> Column:
+    """Load, kind of payload, place. In a load of many playlists a payload's own number comes after its kind."""
+    load, own = at["load_seq"], F.lit(0).cast("bigint")
+    if isinstance(rows.schema["load_seq"].dataType, T.StructType):
+        load, own = load["listed"], load["seq"]
     return F.struct(
-        at["load_seq"].alias("load_seq"), F.lit(phase).alias("phase"), at["source"].alias("source"), at["position"].alias("position"),
-        place.alias("place"))
+        load.alias("load_seq"), F.lit(phase).alias("phase"), own.alias("own"), at["source"].alias("source"),
+        at["position"].alias("position"), place.alias("place"))
 
 
 def artist_details(rows: DataFrame) -> DataFrame:
     at = F.struct("load_seq", F.lit("").alias("source"), F.lit(0).cast("bigint").alias("position"))
-    return rows.withColumn("load_order", _artist_order(at, FROM_ARTIST, F.lit(0))).drop("load_seq")
+    return rows.withColumn("load_order", _artist_order(rows, at, FROM_ARTIST, F.lit(0))).drop("load_seq")
 
 
 def merge_artists(artist: DataFrame, *sources: DataFrame, hold: Hold = _lazy, changed_only: bool = False) -> DataFrame:

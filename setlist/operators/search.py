@@ -166,10 +166,10 @@ def search(postings: DataFrame, query: str, buckets: int | None = None) -> DataF
     ])
     matching = F.filter(places, lambda p: p["token"] == F.col("token"))
     rows = hits.select("track_id", "field", "pos", F.explode(matching).alias("p"))
-    return _matches(rows.select("track_id", "field", "pos", "p.*").withColumn("n_words", F.lit(terms[0].n_words)), ["track_id"])
+    return matches(rows.select("track_id", "field", "pos", "p.*").withColumn("n_words", F.lit(terms[0].n_words)), ["track_id"])
 
 
-def _matches(rows: DataFrame, keys: list[str]) -> DataFrame:
+def matches(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys for which every word has all its tokens side by side somewhere."""
     whole = (
         rows.groupBy(*keys, "n_words", "word_no", "n_tokens", "field", (F.col("pos") - F.col("tok_no")).alias("start"))
@@ -196,7 +196,7 @@ def search_many(postings: DataFrame, queries: DataFrame) -> DataFrame:
     )
     candidates = rarest.join(needed.select("token", "track_id").distinct(), "token").select("query_id", "track_id")
     checks = candidates.join(terms, "query_id").join(needed, ["token", "track_id"])
-    return _matches(checks, ["query_id", "track_id"])
+    return matches(checks, ["query_id", "track_id"])
 
 
 def search_scan(docs: DataFrame, query: str, fields: tuple[str, ...] = FIELDS, id_col: str = "track_id") -> DataFrame:

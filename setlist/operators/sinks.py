@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from setlist.catalog import Catalog
 from setlist.schema import TABLES
 from setlist.session import shared_dir
+from setlist.sources import folders
 
 
 def save_catalog(catalog: Catalog, folder: str, names: Iterable[str] = TABLES) -> None:
@@ -24,19 +25,34 @@ def create_tables(spark: SparkSession, folder: str) -> None:
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
 
 
-def written_stage(spark: SparkSession, folder: str | None = None) -> Callable[[str, DataFrame], DataFrame]:
-    """A stage for `ingest` that writes each frame to the shared folder and reads it back.
+class Scratch:
+    """A stage for loads that writes each frame to the shared folder and reads it back.
 
-    The written table cuts the lineage and outlives lost executors.
+    The written table cuts the lineage and outlives lost executors. `remove` deletes all of it, once
+    what was made from it has been stored; as a context manager it does so at the end, also of a failed load.
     """
-    root = f"{folder or shared_dir(spark)}/stage-{uuid.uuid4().hex}"
 
-    def stage(name: str, df: DataFrame) -> DataFrame:
-        path = f"{root}/{name}"
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.root = spark, f"{folder or shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}"
         df.write.mode("errorifexists").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        folders.remove(self.spark, self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
 
-    return stage
+    def __exit__(self, *failure) -> None:
+        self.remove()
+
+
+def written_stage(spark: SparkSession, folder: str | None = None) -> Callable[[str, DataFrame], DataFrame]:
+    """A stage whose files stay, for results that are read after it."""
+    return Scratch(spark, folder)
 
 
 def write_json(rows: DataFrame, folder: str) -> None:

@@ -168,6 +168,22 @@ _IDS = {
 }
 _SONG_COLUMNS = "t.track_id, t.spotify_id, t.name, t.duration_ms, t.explicit, t.popularity, t.isrc_id, t.spotify_url, t.preview_url"
 
+# Links after some listed playlists were loaded on top of the earlier state.
+_STORED = """
+        with wanted as (select p.playlist_id from listing l join playlist p on p.spotify_id = l.spotify_id where {wanted}),
+        touched as (select distinct track_id from playlist_track where playlist_id in (select playlist_id from wanted)),
+        lists as (
+          select playlist_id, spotify_id as playlist_key, name from playlist where playlist_id in (select playlist_id from wanted)
+          union all select playlist_id, spotify_id, 'old name' from playlist
+            where date < date '1997-01-01' and playlist_id not in (select playlist_id from wanted)),
+        plays as (
+          select * from playlist_track where playlist_id in (select playlist_id from wanted)
+          union all select pt.playlist_id, pt.track_id, pt.sequence + 100 from playlist_track pt join track t on t.track_id = pt.track_id
+            where not t.explicit and pt.playlist_id not in (select playlist_id from wanted))
+        select l.playlist_key, l.name, p.sequence, t.spotify_id as track_key,
+          case when t.track_id in (select track_id from touched) then t.name else 'old ' || t.name end as track
+        from lists l join plays p on p.playlist_id = l.playlist_id join track t on t.track_id = p.track_id"""
+
 _BODIES: dict[str, str] = {
     # scans and landed payloads
     "scan_catalog": " union all ".join(_profile(t, c) for t, c in _IDS.items()),
@@ -291,6 +307,12 @@ _BODIES: dict[str, str] = {
           where not exists (select 1 from early_genres e where e.artist_id = t.artist_id and e.name = t.name))
         union all select 'album_artist', (select count(*) from album_artist where album_id in (select album_id from arrived)
           or album_id >= 10 and artist_id in (select artist_id from popular))""",
+    "merge_track_versions": """
+        with last as (select track_id, max_by(sequence, playlist_id * 1000000 + sequence) as sequence from playlist_track group by track_id)
+        select t.spotify_id, case when l.track_id is null then 'old ' || t.name else t.name || ' @' || l.sequence end as name, t.duration_ms, t.popularity
+        from track t left join last l on l.track_id = t.track_id where l.track_id is not null or not t.explicit""",
+    **{f"load_{what}_tables": _STORED.format(wanted=wanted) for what, wanted in {
+        "latest": "owner = '1-URGENT' and r = 0", "all": "owner = '1-URGENT'"}.items()},
     "latest_listing_entry": "select spotify_id, name from listing where owner = '1-URGENT' and r = 0",
     "ingest_all_order": """
         select spotify_id, name, r as listing_pos, (select count(*) from listing where owner = '1-URGENT') - 1 - r as load_seq

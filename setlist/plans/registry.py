@@ -13,11 +13,13 @@ from setlist.catalog import Catalog
 from setlist.functions import images as I
 from setlist.operators import genres, ingest, relations, search, stats, timeline
 from setlist.operators.groups import join_keeping_left, positions
-from setlist.operators.sinks import written_stage
-from setlist.plans import pages
+from setlist.operators.index import StoredIndex
+from setlist.operators.sinks import Scratch, written_stage
+from setlist.plans import jobs, pages
 from setlist.session import shared_dir, tune
 from setlist.sources import landed, payloads, tables
 from setlist.sources.binding import bound_catalog, driver_table
+from setlist.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KNOWN_UNTIL, LOADED_SINCE = "1997-01-01", "1996-01-01"
 ONE_QUERY = "small-ring artist brand"
 INDEX_BUCKETS = 8
+STORE_BUCKETS = 8
 LISTING_MARKERS = ("SET", "Urgent")
 PLAYLIST_NAME = "Set 2-HIGH :: 1996-06-06"
 
@@ -155,6 +158,17 @@ def merge_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.merge_tracks(_before(c).track, _track_rows(spark, c, sf_dir))
 
 
+@raw_query
+def merge_track_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks from pages that name them differently on each place: the last place of the last playlist counts."""
+    c = bound_catalog(spark, sf_dir)
+    stage = written_stage(spark)
+    pages_ = stage("versions", landed.track_pages(c, landed.album_keys(_parts(spark, sf_dir)), versions=True))
+    items = stage("items", payloads.track_page_items(pages_))
+    merged = ingest.merge_tracks(_before(c).track, payloads.track_columns(items))
+    return merged.select("spotify_id", "name", "duration_ms", "popularity")
+
+
 @raw_query
 def append_track_artist_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
@@ -267,6 +281,32 @@ def ingest_table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_profile(after, names).select("table_name", "n_rows")
 
 
+def _stored(spark: SparkSession, sf_dir: str, newest_only: bool) -> DataFrame:
+    """Links of all playlists after the earlier catalogue, kept in a store, was loaded into."""
+    c = bound_catalog(spark, sf_dir)
+    root = _fresh_folder(spark, "store")
+    kept = Store(spark, f"{root}/tables", STORE_BUCKETS)
+    kept.create(_before(c))
+    with Scratch(spark) as stage:
+        load = landed.landed_load(c, _parts(spark, sf_dir), "1900-01-01")
+        files = {f.name: stage(f.name, getattr(load, f.name)) for f in fields(load)}
+        jobs.load_into(kept, StoredIndex(spark, f"{root}/index", INDEX_BUCKETS), landed.listing_pages(c), ingest.Landed(**files), list(LISTING_MARKERS), newest_only)
+    after = kept.catalog()
+    lists = after.playlist.select("playlist_id", F.col("spotify_id").alias("playlist_key"), "name")
+    songs = after.track.select("track_id", F.col("spotify_id").alias("track_key"), F.col("name").alias("track"))
+    return after.playlist_track.join(lists, "playlist_id").join(songs, "track_id").select("playlist_key", "name", "sequence", "track_key", "track")
+
+
+@raw_query
+def load_latest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, True)
+
+
+@raw_query
+def load_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, False)
+
+
 @query
 def latest_listing_entry(c: Catalog) -> DataFrame:
     listing = payloads.filter_listing(_listing(c), *LISTING_MARKERS)
@@ -425,6 +465,12 @@ def _index(spark: SparkSession, c: Catalog) -> DataFrame:
     return search.write_index(search.search_postings(search.search_docs(c)), _fresh_folder(spark, "index"), INDEX_BUCKETS)
 
 
+def _stored_index(spark: SparkSession, docs: DataFrame, fields_: tuple[str, ...] = search.FIELDS) -> StoredIndex:
+    index = StoredIndex(spark, _fresh_folder(spark, "index"), INDEX_BUCKETS)
+    index.append(docs, "first", fields_)
+    return index
+
+
 def _one_search(spark: SparkSession, c: Catalog) -> DataFrame:
     return search.search(_index(spark, c), ONE_QUERY)
 
@@ -434,12 +480,15 @@ def search_postings(c: Catalog) -> DataFrame:
     return search.search_postings(search.search_docs(c))
 
 
-@query
-def search_index_increment(c: Catalog) -> DataFrame:
-    """Index of the earlier playlists, with the tracks of all later playlists added to it."""
+@raw_query
+def search_index_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the earlier playlists, to which all later playlists' tracks were added, twice by one batch."""
+    c = bound_catalog(spark, sf_dir)
     early, late = F.col("date") < KNOWN_UNTIL, F.col("date") >= KNOWN_UNTIL
-    postings = search.search_postings(search.search_docs(c, playlists=c.playlist.where(early)))
-    return postings.unionByName(search.new_postings(c, postings, c.playlist.where(late)))
+    index = _stored_index(spark, search.search_docs(c, playlists=c.playlist.where(early)))
+    for _ in range(2):
+        index.append(search.search_docs(c, playlists=c.playlist.where(late)), "late")
+    return index.postings().select("token", "track_id", "field", "pos")
 
 
 @raw_query
@@ -462,7 +511,7 @@ def _name_queries(c: Catalog) -> DataFrame:
 @raw_query
 def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)
-    return search.search_many(_index(spark, c), _name_queries(c))
+    return _stored_index(spark, search.search_docs(c)).search_many(_name_queries(c))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,10 +526,9 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @raw_query
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold all words of a benchmark passage, for every passage."""
-    postings = search.search_postings(_documents(spark, sf_dir), ("text",))
-    index = search.write_index(postings, _fresh_folder(spark, "documents"), INDEX_BUCKETS)
+    index = _stored_index(spark, _documents(spark, sf_dir), ("text",))
     asked = driver_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.search_many(index, asked).select("query_id", F.col("track_id").alias("doc_id"))
+    return index.search_many(asked).select("query_id", F.col("track_id").alias("doc_id"))
 
 
 # --- pages ---------------------------------------------------------------------------------------------------
