@@ -28,6 +28,7 @@ def running_total(
     blocks: list[Column],
     totals_from: DataFrame | None = None,
     group_info: DataFrame | None = None,
+    later: Column | None = None,
 ) -> DataFrame:
     """Sum of `value` over all earlier rows of the group (0 for the first), as column `out`.
 
@@ -35,11 +36,18 @@ def running_total(
     block); the block totals are summed map-side first. `totals_from` may name a slimmer frame
     with the same rows to take the totals from. `group_info` has one row per group whose
     columns are to be added; it is joined to the block totals, so the rows need no shuffle for it.
+    `later` may say which rows lie beyond the first block: totals are then taken only of groups that
+    have such rows, mostly none, and all other groups start at 0.
     """
     names = [f"_block{i}" for i in range(len(blocks))]
     keys = [*group, *names]
     cut = dict(zip(names, blocks))
-    totals = (totals_from or rows).withColumns(cut).groupBy(*keys).agg(F.sum(value).alias("_total"))
+    slim = totals_from or rows
+    if later is not None:
+        if group_info is not None:
+            raise ValueError("group_info needs the totals of all groups")
+        slim = slim.join(slim.where(later).select(*group).distinct(), group, "left_semi")
+    totals = slim.withColumns(cut).groupBy(*keys).agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
     how = "left"  # every block has a start; Spark drops a left join whose columns nobody reads
@@ -50,16 +58,41 @@ def running_total(
         rows.withColumns(cut)
         .withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(starts, keys, how)
-        .withColumn(out, F.col("_start") + F.col("_inside"))
+        .withColumn(out, F.coalesce("_start", F.lit(0)) + F.col("_inside"))
         .drop(*names, "_inside", "_start")
     )
 
 
 def positions(
-    rows: DataFrame, out: str, group: list[str], order: list[Column], blocks: list[Column]
+    rows: DataFrame, out: str, group: list[str], order: list[Column], blocks: list[Column], later: Column | None = None
 ) -> DataFrame:
     """Zero-based position of each row in its group."""
-    return running_total(rows, out, F.lit(1).cast("bigint"), group, order, blocks)
+    return running_total(rows, out, F.lit(1).cast("bigint"), group, order, blocks, later=later)
+
+
+def positions_without(
+    rows: DataFrame, out: str, group: str, order: list[Column], block: Column, doomed: DataFrame
+) -> DataFrame:
+    """Rows but those at the doomed (group, `position`)s, with their position among the rows left.
+
+    A row's new position is its old one less the number of doomed ones before it. The block of a doomed
+    position follows from the starts of the blocks; each block then knows its own doomed positions
+    and how many lie in earlier blocks. Rows are shuffled once, by (group, block), and numbered once.
+    """
+    cut = rows.withColumn("_block", block)
+    counts = cut.groupBy(group, "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    asked = doomed.select(F.col(group).alias("_group"), F.col("position").alias("_gone"))
+    inside = (F.col(group) == F.col("_group")) & (F.col("_gone") >= F.col("_start")) & (F.col("_gone") < F.col("_start") + F.col("_n"))
+    hit = starts.join(asked, inside, "left").groupBy(group, "_block").agg(
+        F.first("_start").alias("_start"), F.collect_set("_gone").alias("_doomed"))
+    hit = hit.withColumn("_less", F.coalesce(F.sum(F.size("_doomed")).over(earlier), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(group, "_block").orderBy(*order)) - 1
+    placed = cut.withColumn("_inside", place).join(hit, [group, "_block"]).withColumn("_at", F.col("_start") + F.col("_inside"))
+    kept = placed.where(~F.array_contains("_doomed", F.col("_at")))
+    new = F.col("_at") - F.col("_less") - F.size(F.filter("_doomed", lambda x: x < F.col("_at")))
+    return kept.withColumn(out, new.cast("bigint")).drop("_block", "_inside", "_start", "_doomed", "_less", "_at")
 
 
 def ordered_values(

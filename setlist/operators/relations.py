@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from setlist.catalog import Catalog
 from setlist.functions import labels as L
-from setlist.operators.groups import join_keeping_left, joined_text, ordered_values, position_block, positions
+from setlist.operators.groups import join_keeping_left, joined_text, ordered_values, position_block, positions, positions_without
 from setlist.schema import FEATURE_COLUMNS, TABLES
 
 
@@ -91,11 +91,9 @@ def enumerate_tracks(c: Catalog) -> DataFrame:
 
 def remove_at_position(c: Catalog, doomed: DataFrame) -> DataFrame:
     """`playlist_track` without the items at the given (playlist_id, position), renumbered."""
-    order, blocks = [F.col("sequence"), F.col("track_id")], [position_block()]
-    placed = positions(c.playlist_track, "position", ["playlist_id"], order, blocks)
-    kept = placed.join(doomed.select("playlist_id", "position").distinct(), ["playlist_id", "position"], "left_anti")
-    again = positions(kept, "new_position", ["playlist_id"], [F.col("position")], [position_block("position")])
-    return again.select("playlist_id", "track_id", F.col("new_position").alias("sequence"))
+    order = [F.col("sequence"), F.col("track_id")]
+    left = positions_without(c.playlist_track, "new_position", "playlist_id", order, position_block(), doomed)
+    return left.select("playlist_id", "track_id", F.col("new_position").alias("sequence"))
 
 
 def track_playlists(c: Catalog) -> DataFrame:

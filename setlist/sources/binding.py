@@ -39,6 +39,9 @@ def _no_images() -> Column:
     return F.array().cast(IMAGES)
 
 
+# Line numbers of an order that are numbered in one block.
+LINES = 4096
+
 # Columns of the driver's tables that the binding uses; a declared schema saves a look into the files.
 DRIVER_TABLES = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, l_shipdate timestamp_ntz",
@@ -80,8 +83,9 @@ def bound_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate",
         )
         order = ["l_linenumber", "track_id", "l_suppkey", "l_extendedprice", "l_shipdate"]
-        blocks = [F.col("l_linenumber"), F.floor(F.col("track_id") / 4096)]
-        placed = positions(plays, "sequence", ["playlist_id"], [F.col(c) for c in order], blocks)
+        # Line numbers tell the lines of an order apart, so a block of them is bounded; most orders have one.
+        blocks, later = [F.floor(F.col("l_linenumber") / LINES)], F.col("l_linenumber") >= LINES
+        placed = positions(plays, "sequence", ["playlist_id"], [F.col(c) for c in order], blocks, later)
         return placed.select("playlist_id", "track_id", "sequence")
 
     def track() -> DataFrame:

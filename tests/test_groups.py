@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from helpers import rows
-from setlist.operators.groups import joined_text, ordered_values, position_block, positions, running_total
+from setlist.operators.groups import joined_text, ordered_values, position_block, positions, positions_without, running_total
 from setlist.operators.numbering import number_new_keys
 
 
@@ -62,3 +62,46 @@ def test_new_ids(spark):
     assert len(set(ids)) == 500 and min(ids) > 41
     empty = spark.createDataFrame([], "id bigint")
     assert min(r["id"] for r in number_new_keys(keys, "k", "id", empty, digits=1).collect()) >= 1
+
+
+def test_positions_without_against_lists(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(g, s, 100 * g + i) for g in range(6) for i, s in enumerate(sorted(rng.sample(range(300), 25)))]
+    gone = [(g, p) for g in range(6) for p in rng.sample(range(30), 6 * g)] + [(0, 3), (0, 3), (99, 1), (1, None)]
+    doomed = spark.createDataFrame(gone, "g int, position int")
+    df = spark.createDataFrame(data, "g int, seq int, track int").repartition(3)
+    want = []
+    for g in range(6):
+        left = [t for p, (_, _, t) in enumerate(r for r in data if r[0] == g) if (g, p) not in gone]
+        want += [(g, p, t) for p, t in enumerate(left)]
+    for size in (4, 16, 1000):
+        got = positions_without(df, "p", "g", [F.col("seq")], position_block("seq", size), doomed)
+        assert rows(got, "g", "p", "track") == sorted(want, key=repr)
+
+
+def test_removal_numbers_the_table_once(spark, tmp_path):
+    from setlist.catalog import catalog_from_frames
+    from setlist.operators.relations import remove_at_position
+    from setlist.schema import TABLES
+
+    spark.createDataFrame([(p, t, t) for p in range(9) for t in range(5)], TABLES["playlist_track"]).write.parquet(str(tmp_path / "pt"))
+    c = catalog_from_frames(spark, playlist_track=spark.read.parquet(str(tmp_path / "pt")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = remove_at_position(c, spark.createDataFrame([(3, 1)], "playlist_id bigint, position int"))
+        assert got.count() == 44
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 6
+
+
+def test_totals_of_later_blocks_only(spark):
+    data = [(1, i, 1) for i in range(10)] + [(2, i, 2) for i in range(3)]
+    df = spark.createDataFrame(data, "g int, seq int, v int")
+    order, block = [F.col("seq")], [position_block("seq", 4)]
+    plain = running_total(df, "t", F.col("v"), ["g"], order, block)
+    assert rows(running_total(df, "t", F.col("v"), ["g"], order, block, later=F.col("seq") >= 4), "g", "seq", "t") == rows(plain, "g", "seq", "t")
