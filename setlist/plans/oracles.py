@@ -64,7 +64,7 @@ VIEWS: dict[str, str] = {
     "artist_genre": """
         select s_suppkey as artist_id, cast(s_nationkey as bigint) as genre_id from supplier
         union select s_suppkey, s_suppkey % 25 from supplier""",
-    "track_artist": "select distinct l_partkey as track_id, l_suppkey as artist_id from lineitem where l_linenumber = 1",
+    "track_artist": "select distinct l_partkey as track_id, l_suppkey as artist_id from lineitem",
     "audio_features": f"""
         select p_partkey as features_id, p_partkey as track_id, 'http://analysis/' || p_partkey as analysis_url,
           cast(p_partkey % 14 - 1 as int) as key, cast(p_partkey % 3 as int) as mode,
@@ -79,6 +79,7 @@ VIEWS: dict[str, str] = {
     "track_names": """
         select t.track_id, string_agg(a.name, ', ' order by a.artist_id) as artists
         from track t join track_artist ta on t.track_id = ta.track_id join artist a on a.artist_id = ta.artist_id group by t.track_id""",
+    # The names of the twelve pitches.
     "labelled": """
         select *, case when key between -12 and 11 then
             list_extract(['C','C♯','D','E♭','E','F','F♯','G','A♭','A','B♭','B'], case when key < 0 then key + 13 else key + 1 end) else '' end as key_str,

@@ -145,8 +145,8 @@ def bound_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         return own.unionByName(other).distinct()
 
     def track_artist() -> DataFrame:
-        first = read("lineitem").where("l_linenumber = 1")
-        return first.select(F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("artist_id")).distinct()
+        pairs = read("lineitem").select(F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("artist_id"))
+        return pairs.distinct()
 
     def audio_features() -> DataFrame:
         key = F.col("p_partkey")
