@@ -151,18 +151,33 @@ def _split_expressions(text: str) -> list[str]:
     return [p.strip() for p in [*parts, text[start:]] if p.strip()]
 
 
+def playlist_as_df_runs(c: Catalog) -> DataFrame:
+    """Artists of each track *name* and how often its plays name them: the repeated artist text as runs.
+
+    A row stands for `times` mentions one after the other, so it is as short for a track played a billion
+    times as for one played once.
+    """
+    with_artist = c.track_artist.select("track_id", "artist_id").join(
+        c.artist.select("artist_id", F.col("name").alias("artist")), "artist_id"
+    )
+    n_features = c.audio_features.groupBy("track_id").agg(F.count("*").alias("_n_features"))
+    n_plays = c.playlist_track.join(c.playlist.select("playlist_id"), "playlist_id", "left_semi")
+    weights = n_plays.groupBy("track_id").agg(F.count("*").alias("_n_plays")).join(n_features, "track_id")
+    named = with_artist.join(weights, "track_id").join(c.track.select("track_id", "name"), "track_id")
+    return named.groupBy("name", "artist_id", "artist").agg(F.sum(F.col("_n_plays") * F.col("_n_features")).alias("times"))
+
+
 def playlist_as_df(
     c: Catalog, columns: None | str | list[str] = None, distinct_artists: bool = True
 ) -> DataFrame:
     """One row per track *name*: its artists in one text, all else from its earliest play.
 
     Artist names come once each, or with `distinct_artists=False` once per play and artist.
-    Plays are counted per track and summed per (name, artist) before any text is built.
+    Plays are counted per track and summed per (name, artist) before any text is built. The repeated
+    text is one string per name, so it must stay below 2 GB; `playlist_as_df_runs` has no such limit.
     """
     af = c.audio_features.select(*[f.name for f in TABLES["audio_features"]])
-    with_artist = c.track_artist.select("track_id", "artist_id").join(
-        c.artist.select("artist_id", F.col("name").alias("artist")), "artist_id"
-    )
+    with_artist = c.track_artist.join(c.artist.select("artist_id"), "artist_id", "left_semi")
     playable = c.track.select("track_id", "name").join(with_artist.select("track_id"), "track_id", "left_semi")
 
     # earliest play per track first: from there on there is one row per track, not per play
@@ -181,11 +196,7 @@ def playlist_as_df(
         .select(*shown, *feature_projection(columns))
     )
 
-    n_features = af.groupBy("track_id").agg(F.count("*").alias("_n_features"))
-    n_plays = c.playlist_track.join(c.playlist.select("playlist_id"), "playlist_id", "left_semi")
-    weights = n_plays.groupBy("track_id").agg(F.count("*").alias("_n_plays")).join(n_features, "track_id")
-    named = with_artist.join(weights, "track_id").join(c.track.select("track_id", "name"), "track_id")
-    runs = named.groupBy("name", "artist_id", "artist").agg(F.sum(F.col("_n_plays") * F.col("_n_features")).alias("times"))
+    runs = playlist_as_df_runs(c)
     value = F.col("artist")
     if not distinct_artists:
         value = F.when(value.isNotNull(), F.array_join(F.array_repeat(value, F.col("times").cast("int")), ";"))

@@ -169,6 +169,15 @@ _IDS = {
 }
 _SONG_COLUMNS = "t.track_id, t.spotify_id, t.name, t.duration_ms, t.explicit, t.popularity, t.isrc_id, t.spotify_url, t.preview_url"
 
+def _object(fields: str) -> str:
+    """SQL of a JSON object of these columns."""
+    return f"json_object({', '.join(f"'{f}', {f}" for f in fields.split())})"
+
+
+_FEATURE_FIELDS = "key key_str mode mode_str tempo time_signature " + " ".join(FEATURE_FACTORS)
+_RECORD_FIELDS = "track_id name duration_ms explicit popularity album artists " + _FEATURE_FIELDS
+_FLAT_FIELDS = _RECORD_FIELDS + " date year month day start_time_ms"
+
 # Links after some listed playlists were loaded on top of the earlier state.
 _STORED = """
         with wanted as (select p.playlist_id from listing l join playlist p on p.spotify_id = l.spotify_id where {wanted}),
@@ -344,6 +353,33 @@ _BODIES: dict[str, str] = {
         from first_play f join (
           select b.name, string_agg(a.name, ';' order by a.artist_id) as artist from played b join track_artist ta on ta.track_id = b.track_id
           join artist a on a.artist_id = ta.artist_id group by b.name) n on n.name = f.name""",
+    "playlist_as_df_runs": """
+        select b.name, a.artist_id, a.name as artist, count(*) as times from played b join track_artist ta on ta.track_id = b.track_id
+        join artist a on a.artist_id = ta.artist_id group by all""",
+    "sql_long_playlists": """
+        select p.spotify_id, p.name, count(*) as n_tracks, cast(sum(t.duration_ms) as bigint) as duration_ms
+        from playlist p join playlist_track pt on pt.playlist_id = p.playlist_id join track t on t.track_id = pt.track_id
+        where p.date >= date '1996-01-01' and t.popularity >= 20 group by p.spotify_id, p.name""",
+    "saved_tables": " union all ".join(
+        [_profile(t, _IDS[t]) for t in ("playlist", "track", "artist", "genre", "artist_genre")]
+        + [f"select '{t}', 0, null, null" for t in ("album", "audio_features")]),
+    "random_playlist": """
+        select spotify_id, name from listing where name ilike '%set%' and name ilike '%urgent%' order by md5(spotify_id || '|7') limit 1""",
+    "track_links": """
+        select t.track_id, t.spotify_id, t.spotify_url, t.preview_url, coalesce(t.preview_url <> '', false) as has_preview, t.album_id is not null as has_album,
+          cast(row_number() over (partition by t.track_id order by a.artist_id) - 1 as int) as place, a.spotify_id as artist_spotify_id, a.name as artist
+        from track t join track_artist ta on ta.track_id = t.track_id join artist a on a.artist_id = ta.artist_id
+        union all select t.track_id, t.spotify_id, t.spotify_url, t.preview_url, coalesce(t.preview_url <> '', false), t.album_id is not null, null, null, null
+        from track t where t.track_id not in (select track_id from track_artist)""",
+    "sorted_genre_artists": """
+        with firsts as (select name as genre, min(genre_id) as genre_id from genre group by name)
+        select f.genre, a.artist_id, a.spotify_id, a.name, a.popularity, format('{:,}', a.followers) as followers
+        from firsts f join artist_genre ag on ag.genre_id = f.genre_id join artist a on a.artist_id = ag.artist_id
+        order by f.genre, a.followers desc, a.artist_id""",
+    "search_blank_queries": """
+        select distinct o_orderpriority as query_id, case when o_orderpriority like '5%' then (
+            select count(distinct d1.track_id) from doc_text d1 join doc_text d2 on d1.track_id = d2.track_id
+            where contains(d1.norm, ' small ') and contains(d2.norm, ' ring ')) else 0 end as n_hits from orders""",
     "track_genre_pairs": """
         select t.name as track, g.name as genre from track t join track_artist ta on t.track_id = ta.track_id
         join artist_genre ag on ag.artist_id = ta.artist_id join genre g on g.genre_id = ag.genre_id""",
@@ -397,6 +433,13 @@ _BODIES: dict[str, str] = {
     "prune_flat": "select name, artists, acousticness, time_signature, track_id from flat",
     "threshold_flag": """
         select name, artists, acousticness, time_signature, track_id, case when acousticness > 0.9 then 'red' else 'lightgrey' end as color from flat""",
+    "track_json": f"select track_pk, cast({_object(_RECORD_FIELDS)} as varchar) as record from records",
+    "feature_json": f"select features_id, track_id, cast({_object(_FEATURE_FIELDS)} as varchar) as record from labelled",
+    "timeline_json": f"select playlist_id, sequence, cast({_object(_FLAT_FIELDS)} as varchar) as record from flat",
+    "timeline_json_arrays": f"""
+        select playlist_id, sequence // 10000 as part,
+          '[' || string_agg(cast({_object(_FLAT_FIELDS)} as varchar), ',' order by sequence) || ']' as records
+        from flat group by playlist_id, sequence // 10000""",
     "timeline_json_parsed": """
         select playlist_id, sequence as pos, track_id, name, date, key_str, start_time_ms, energy from flat""",
     # statistics

@@ -44,6 +44,33 @@ def track_cells(c: Catalog, separator: str = ", ") -> DataFrame:
     )
 
 
+def track_links(c: Catalog) -> DataFrame:
+    """What a row of the track table links to: the track, its preview and each of its artists; one row per artist.
+
+    Tracks without an artist have one row. `place` numbers a track's artists from 0 in id order.
+    """
+    tracks = c.track.select(
+        "track_id", "spotify_id", "spotify_url", "preview_url", L.filled(F.col("preview_url")).alias("has_preview"),
+        F.col("album_id").isNotNull().alias("has_album"))
+    people = c.track_artist.join(c.artist.select("artist_id", F.col("spotify_id").alias("id"), "name"), "artist_id")
+    listed = ordered_values(people, "links", ["track_id"], "artist_id", F.struct("id", "name"))
+    linked = tracks.join(listed, "track_id", "left").select(*tracks.columns, F.posexplode_outer("links").alias("place", "a"))
+    return linked.select(*tracks.columns, "place", F.col("a.id").alias("artist_spotify_id"), F.col("a.name").alias("artist"))
+
+
+# Columns a reader may sort the artists of a genre by.
+GENRE_SORTABLE = ["name", "popularity", "followers"]
+
+
+def sorted_genre_artists(c: Catalog, column: str, descending: bool = False, names: DataFrame | None = None) -> DataFrame:
+    """The artist table of each genre by one of its columns, either way; followers by number; ties by id."""
+    if column not in GENRE_SORTABLE:
+        raise ValueError(f"cannot sort by {column}")
+    page = genre_page(c, names).join(c.artist.select("artist_id", F.col("followers").alias("_followers")), "artist_id")
+    key = F.col("_followers" if column == "followers" else column)
+    return page.orderBy("genre", key.desc_nulls_last() if descending else key.asc_nulls_last(), "artist_id").drop("_followers")
+
+
 def sorted_tracks(c: Catalog, column: str, descending: bool = False) -> DataFrame:
     """The track table by one of its columns, either way; ties by id."""
     if column not in SORTABLE:
@@ -64,7 +91,8 @@ def playlist_page(c: Catalog, requests: DataFrame, ordered: bool = True) -> Data
         "date", "playlist_id", F.col("name").alias("playlist_name"), I.first_image(F.col("images")).alias("image_url"),
         F.col("spotify_url").alias("playlist_url"), F.col("description"), L.filled(F.col("description")).alias("has_description"),
     )
-    found = asked.join(lists, "date", "left").withColumn(
+    # Inner and partnerless part apart, so that a date with very many playlists is split.
+    found = join_keeping_left(asked, lists, "date").withColumn(
         "status",
         F.when(F.col("date").isNull(), "invalid").when(F.col("playlist_id").isNull(), "not found").otherwise("ok"),
     )

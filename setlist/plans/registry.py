@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 from dataclasses import fields
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from setlist.catalog import Catalog
 from setlist.functions import images as I
-from setlist.operators import genres, ingest, relations, search, stats, timeline
+from setlist.operators import genres, ingest, relations, search, sinks, stats, timeline
 from setlist.operators.groups import join_keeping_left, positions
 from setlist.operators.index import StoredIndex
 from setlist.operators.sinks import Scratch, written_stage
@@ -329,14 +330,14 @@ def ingest_all_order(c: Catalog) -> DataFrame:
 
 for _make in (
     relations.playlist_tracks_outer, relations.playlist_tracklist, relations.enumerate_tracks, relations.track_playlists,
-    relations.playlist_features, relations.playlist_as_df, relations.track_genre_pairs, relations.artist_tracks,
+    relations.playlist_features, relations.playlist_as_df, relations.playlist_as_df_runs, relations.track_genre_pairs, relations.artist_tracks,
     relations.artist_albums, relations.genre_artists, relations.track_album, relations.track_features,
     relations.track_flat, relations.feature_records, relations.tracks_missing_album, relations.display_labels,
     search.search_doc_rows, search.track_artist_runs, search.track_artist_concat, search.search_docs,
     stats.artist_play_counts, stats.top_artists, stats.artists_min_plays, stats.play_count_histogram,
     stats.genre_track_counts, stats.top_genres, stats.gross_valence, stats.playlist_stats, stats.artist_track_counts, stats.energy_histogram,
     genres.genre_canonical, genres.genre_links_repointed, genres.genre_repair_report, genres.genre_names,
-    pages.playlist_index, pages.artist_page, pages.artist_page_albums, pages.genre_page,
+    pages.playlist_index, pages.track_links, pages.artist_page, pages.artist_page_albums, pages.genre_page,
 ):
     query(_make)
 
@@ -366,6 +367,39 @@ def playlist_name_contains(c: Catalog) -> DataFrame:
     return relations.first_with_name_part(_listing(c), "1996-06").select("spotify_id", "name")
 
 
+LONG_PLAYLISTS = """
+    select p.spotify_id, p.name, count(*) as n_tracks, sum(t.duration_ms) as duration_ms
+    from playlist p join playlist_track pt on pt.playlist_id = p.playlist_id join track t on t.track_id = pt.track_id
+    where p.date >= :since and t.popularity >= :popularity group by p.spotify_id, p.name, p.playlist_id"""
+
+
+@raw_query
+def sql_long_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQL text with parameters over the catalogue's tables."""
+    args = {"since": datetime.date(1996, 1, 1), "popularity": 20}
+    return tables.sql_frame(spark, bound_catalog(spark, sf_dir), LONG_PLAYLISTS, "playlist", "playlist_track", "track", args=args)
+
+
+@raw_query
+def saved_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts and id ranges of the tables after they were saved, missing ones made empty, and read again."""
+    c, folder = bound_catalog(spark, sf_dir), _fresh_folder(spark, "saved")
+    sinks.save_catalog(c, folder, ["playlist", "track", "artist", "genre", "artist_genre"])
+    sinks.create_tables(spark, folder)
+    return tables.table_profile(tables.read_catalog(spark, folder), ["playlist", "track", "artist", "genre", "artist_genre", "album", "audio_features"])
+
+
+@query
+def track_json(c: Catalog) -> DataFrame:
+    records = relations.track_records(c).drop("features_id")
+    return timeline.record_json(records, "track_pk")
+
+
+@query
+def feature_json(c: Catalog) -> DataFrame:
+    return timeline.record_json(relations.feature_records(c), "features_id", "track_id")
+
+
 @query
 def previewless_tracks(c: Catalog) -> DataFrame:
     return relations.previewless_tracks(c)
@@ -518,6 +552,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return driver_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("track_id"), "text")
 
 
+@raw_query
+def search_blank_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of queries without a word (empty, blank, missing, signs only) beside one with words."""
+    kind = F.substring("o_orderpriority", 1, 1)
+    text = F.when(kind == "1", "").when(kind == "2", "  ").when(kind == "4", '" -').when(kind == "5", "small ring")
+    asked = driver_table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("query_id"), text.alias("query")).distinct()
+    hits = _stored_index(spark, search.search_docs(bound_catalog(spark, sf_dir))).search_many(asked)
+    found = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked.join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_hits"))
+
+
 @raw_query
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_postings(_documents(spark, sf_dir), ("text",)).select("track_id", "pos", "token")
@@ -556,6 +601,11 @@ def sorted_tracks(c: Catalog) -> DataFrame:
     return pages.sorted_tracks(c, "energy", descending=True)
 
 
+@query
+def sorted_genre_artists(c: Catalog) -> DataFrame:
+    return pages.sorted_genre_artists(c, "followers", descending=True).drop("other_genres")
+
+
 @raw_query
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)

@@ -149,4 +149,4 @@ def compact_tracks(items: DataFrame) -> DataFrame:
 
 def random_entry(listing: DataFrame, seed: int) -> DataFrame:
     """One entry by chance; the same seed gives the same entry."""
-    return listing.orderBy(F.xxhash64("spotify_id", F.lit(seed)), "spotify_id").limit(1)
+    return listing.orderBy(F.md5(F.concat("spotify_id", F.lit(f"|{seed}"))), "spotify_id").limit(1)
