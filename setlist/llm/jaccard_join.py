@@ -56,7 +56,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setlist.llm.common import bloom_segments, filter_bits, maybe_member, numbered, written
@@ -67,15 +67,17 @@ CELLS = 1 << 20  # of the table of shingle counts
 CHUNK = 4096  # cells of one row of that table
 BAND = 16
 PIECE = 4_000_000  # bytes of text hashed at once
+SHORT = 64  # words of the sketch that members of a key carry
 
 
 def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Index and sorted distinct shingles of each text."""
     for first, end in pieces(texts, PIECE):
         hashes, counts = word_hashes(texts[first:end])
+        runs = shingle_hashes(hashes, size)  # of the whole piece; those across two texts are skipped
         at = 0
         for i, n in enumerate(counts):
-            yield first + i, np.unique(shingle_hashes(hashes[at:at + n], size))
+            yield first + i, np.unique(runs[at:at + n - size + 1] if n >= size else shingle_hashes(hashes[at:at + n], size))
             at += n
 
 
@@ -88,12 +90,20 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sum_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """Common-ness class of every cell: log2 of the number of sets with a shingle in it."""
+    """Common-ness class of every cell: log2 of how often all texts have a shingle in it.
+
+    It only ranks a set's words. Texts shorter than a shingle are not counted.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for _, shingles in _sets(_bytes(batch.column("text")), size):
-                np.add.at(total, _cells(shingles), 1) if len(shingles) < 4096 else np.add(total, np.bincount(_cells(shingles), minlength=CELLS), out=total)
+            texts = _bytes(batch.column("text"))
+            for first, end in pieces(texts, PIECE):
+                hashes, counts = word_hashes(texts[first:end])
+                if len(hashes) >= size:
+                    text = np.repeat(np.arange(len(counts)), counts)
+                    inside = text[:len(text) - size + 1] == text[size - 1:]
+                    total += np.bincount(_cells(shingle_hashes(hashes, size)[inside]), minlength=CELLS)
         for chunk in range(CELLS // CHUNK):
             part = total[chunk * CHUNK:(chunk + 1) * CHUNK]
             if part.any():
@@ -172,13 +182,18 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def short_bits(bits: np.ndarray) -> np.ndarray | None:
+    """The sketch folded to SHORT words, none if it is no wider: its Hamming distance is a lower bound as well."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, SHORT), axis=0) if len(bits) > SHORT else None
+
+
 def _sketches(docs: DataFrame, commonness: np.ndarray, size: int, percent: int) -> DataFrame:
-    """row_id, doc_id, n_shingles, set hashes h1 and h2, keys, before (odd words before each key), bits (the parity sketch)."""
+    """row_id, doc_id, n_shingles, set hashes h1 and h2, keys, before (odd words before each key), bits (the parity sketch), short (if it is long, its folded form)."""
     shared = docs.sparkSession.sparkContext.broadcast(commonness)  # one byte per cell
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, keys, before, bits = [], [], [], [], [], []
+            n, h1, h2, keys, before, bits, short = [], [], [], [], [], [], []
             for _, s in _sets(_bytes(batch.column("text")), size):
                 n.append(len(s))
                 h1.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
@@ -187,31 +202,35 @@ def _sketches(docs: DataFrame, commonness: np.ndarray, size: int, percent: int)
                 keys.append(key.view(np.int64))
                 before.append(odd.astype(np.int32))
                 bits.append(parity_bits(s))
+                short.append(short_bits(bits[-1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(before, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
-                ["row_id", "doc_id", "n_shingles", "h1", "h2", "keys", "before", "bits"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(before, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64())),
+                 pa.array(short, pa.list_(pa.int64()))],
+                ["row_id", "doc_id", "n_shingles", "h1", "h2", "keys", "before", "bits", "short"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("row_id", "doc_id", "text").mapInArrow(
-        sketch, f"row_id long, doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, before array<int>, bits array<long>")
+        sketch, f"row_id long, doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, before array<int>, bits array<long>, short array<long>")
 
 
 def _close(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their sizes and parity sketches allow."""
     side = lambda name: sketched.select(F.col("row_id").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("bits").alias(f"bits_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # The narrower sketch is at least half as wide: sizes differ by less than a factor of two.
-    wide, narrow = F.greatest(F.size("bits_a"), F.size("bits_b")), F.least(F.size("bits_a"), F.size("bits_b"))
-    fold = lambda bits: F.when(F.size(bits) > F.col("narrow"), F.zip_with(
-        F.slice(bits, F.lit(1), F.col("narrow")), F.slice(bits, F.col("narrow") + 1, F.col("narrow")), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(bits))
-    differ = F.aggregate(
-        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    return (
-        both.where(wide <= narrow * 2).withColumn("narrow", narrow)
-        .select("a", "b", "na", "nb", fold("bits_a").alias("x"), fold("bits_b").alias("y"))
-        .where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
-    )
+    return both.where(_near("bits_a", "bits_b", "na", "nb", percent)).select("a", "b")
+
+
+def _near(x: str, y: str, n: str, m: str, percent: int) -> Column:
+    """Whether two sketches differ in no more bits than their sets' sizes allow.
+
+    The wider one is folded; it is at most twice as wide, as sizes differ by less than a factor of two.
+    """
+    narrow = F.least(F.size(x), F.size(y))
+    fold = lambda bits: F.when(F.size(bits) > narrow, F.zip_with(
+        F.slice(bits, F.lit(1), narrow), F.slice(bits, narrow + 1, narrow), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(bits))
+    differ = F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, k: acc + k)
+    return (F.greatest(F.size(x), F.size(y)) <= narrow * 2) & (differ * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
@@ -305,11 +324,14 @@ def _components(texts: DataFrame, size: int, percent: int, rounds: int = 2, max_
     open_keys = written(
         current.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(leads).alias("led"))
         .where("first < last and led").select("key"), "jaccard-open")
-    rest = written(current.join(open_keys, "key", "left_semi").withColumn("leads", leads), "jaccard-left")
-    other = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("rep", "n", "before", "comp", "leads")])
+    # Members carry their short sketch, so that a pair that cannot be linked is never made into a row.
+    short = sketched.select(F.col("row_id").alias("rep"), F.coalesce("short", "bits").alias("short"))
+    rest = written(current.join(open_keys, "key", "left_semi").withColumn("leads", leads).join(short, "rep"), "jaccard-left")
+    other = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("rep", "n", "before", "comp", "leads", "short")])
     pairs = (
         rest.where("leads").join(other, "key").where("comp <> bcomp and (rep < brep or not bleads)")
         .where(_may_reach("n", "bn", percent) & _may_start("n", "before", "bn", "bbefore", percent))
+        .where(_near("short", "bshort", "n", "bn", percent))
         .select(F.least("rep", "brep").alias("a"), F.greatest("rep", "brep").alias("b")).distinct()
     )
     pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
