@@ -35,10 +35,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+# The session setting that names the running stage's part of the scratch folder.
+STAGE_SETTING = "spark.setlist.stage"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """The scratch folder, or the running stage's folder in it."""
+    return f"{scratch_dir(spark)}/{spark.conf.get(STAGE_SETTING, '')}".rstrip("/")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame into the shared folder and read it back: later stages survive lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
