@@ -4,14 +4,18 @@
    only windows around shared shingles get a fingerprint: for every item size, those aligned with
    a shared shingle and those that begin at a run of shared shingles. (A best window can always be
    moved left to the start of such a run without losing a shared shingle.)
-2. Fingerprints. 64-bit SimHash over the window's shingles, weighted by how often each occurs.
+2. Fingerprints. Two 64-bit SimHashes of a window: one over its shingles as often as they occur, one
+   over each shingle once. A shingle that only one side repeats upsets the first, a passage that
+   both sides repeat the second; a pair need only be near by one of them.
 3. Multi-index. The fingerprint is cut into radius + 1 blocks; two fingerprints within the radius
-   agree on a block, so an equi-join on (item size, block, value) finds all of them.
+   agree on a block, so an equi-join on (kind, item size, block, value) finds all of them.
 4. Verification. Weighted Jaccard similarity of the two shingle multisets, sum of the smaller over
    sum of the greater counts.
 
-With five-word shingles a similarity of 0.8 means about 10 +- 3 differing bits of 64; the default
-radius of 24 lies five deviations above. Documents shuffle only if they share a shingle.
+Without repeated shingles a similarity of 0.8 means about 10 +- 3 differing bits of 64; the default
+radius of 24 lies five deviations above, so its blocks are 2 or 3 bits wide: the index selects little, and
+no cut of any number of bits could select much and be sure of pairs that differ in a sixth of them.
+Documents shuffle only if they share a shingle.
 
 Defined cases: null or empty texts hold nothing. Items with fewer than five words have no shingle
 and are never found. A document shorter than an item is one window. Words are lower-cased (A-Z)
@@ -50,6 +54,10 @@ def simhash(shingles: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 
+def both_prints(shingles: Column) -> Column:
+    return F.array(simhash(shingles), simhash(F.array_distinct(shingles)))
+
+
 def blocks(fingerprint: Column, radius: int) -> Column:
     """The radius + 1 blocks of a fingerprint as (block, value)."""
     n = radius + 1
@@ -72,7 +80,7 @@ def find_leaks(
 ) -> DataFrame:
     """One row per (row of docs, item) found: doc_id, row_id, item_id, start, n_words, hamming, similarity of the best window.
 
-    `start` counts words from 0.
+    `start` counts words from 0; `hamming` is that of the nearer kind of fingerprint.
     """
     texts = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "leak-docs")
     return _leaks(texts, benchmark, item_col, item_text_col, min_similarity, radius, broadcast_rows)
@@ -85,7 +93,7 @@ def _leaks(
     """`find_leaks` of a written table of row_id, doc_id and text."""
     items = _shingled(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "text")
     items = with_row_id(items, "item_row").withColumn("n_item", F.size("shingles"))
-    items = written(items.withColumn("item_print", simhash(F.col("shingles"))), "leak-items").where("n_item > 0")
+    items = written(items.withColumn("item_prints", both_prints(F.col("shingles"))), "leak-items").where("n_item > 0")
     n_shingles = items.agg(F.coalesce(F.sum("n_item"), F.lit(0))).first()[0]
     item_shingles = items.select("n_item", F.posexplode("shingles").alias("item_pos", "shingle")).distinct()
 
@@ -114,15 +122,17 @@ def _leaks(
         _shingled(touched.join(per_row, "row_id"), "text").select("doc_id", "row_id", "shingles", F.explode("windows").alias("w"))
         .select("doc_id", "row_id", "w.n_item", "w.start", F.slice("shingles", F.col("w.start") + 1, F.col("w.n_item")).alias("window"))
     )
-    prints = written(cut.withColumn("print", simhash(F.col("window"))), "leak-prints")
+    prints = written(cut.withColumn("prints", both_prints(F.col("window"))), "leak-prints")
 
     n_items = items.count()
-    index = items.select("n_item", "item_row", "item_id", "item_print", F.inline(blocks(F.col("item_print"), radius)))
-    probes = prints.select("row_id", "n_item", "start", "print", F.inline(blocks(F.col("print"), radius)))
+    index = items.select("n_item", "item_row", "item_id", F.posexplode("item_prints").alias("kind", "item_print")).select(
+        "*", F.inline(blocks(F.col("item_print"), radius)))
+    probes = prints.select("row_id", "n_item", "start", F.posexplode("prints").alias("kind", "print")).select(
+        "*", F.inline(blocks(F.col("print"), radius)))
     near = (
-        probes.join(_small(index, n_items * (radius + 1), broadcast_rows), ["n_item", "block", "value"])
+        probes.join(_small(index, 2 * n_items * (radius + 1), broadcast_rows), ["kind", "n_item", "block", "value"])
         .withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= radius)
-        .select("row_id", "n_item", "start", "item_row", "hamming").distinct()
+        .groupBy("row_id", "n_item", "start", "item_row").agg(F.min("hamming").alias("hamming"))
     )
 
     # Verify: counts of each shingle in the window against its count in the item.
