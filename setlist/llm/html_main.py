@@ -4,9 +4,11 @@ Every paragraph gives points, for being one, for its length and its commas, to i
 to the parent, half to the next, less above. A container's points are discounted by its link
 density. The best container is kept (widened to the article around it), and with it those siblings
 that read like text. Parts that are boilerplate by tag or role give nothing and are left out
-wherever they stand. So are parts that are boilerplate by their class or id, unless they hold most of
-the paragraph points: of those in articles, if the page has any, else of the page's. In an article
-only whole class names count; the ids of sections and headings, made from titles, never do.
+wherever they stand. So are, whatever their size, parts whose class or id can only name reader
+comments, sidebars or adverts, also in articles; an article in them is not the page's. Other names of
+boilerplate, words of a class or id, drop a part unless it wraps the page: it then holds an article or
+main part, or a heading of the first level. In an article they count as whole class names only; the
+ids of sections and headings, made from titles, never do.
 
 Each page is parsed on its own in a task; pages are not shuffled.
 
@@ -37,6 +39,11 @@ FURNITURE_NAMES = set(
     "breadcrumb breadcrumbs footer comment comments commentlist disqus respond replies notice notices alert cookie cookies consent gdpr popup "
     "modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget login search "
     "toolbar pagination pager skip".split())
+# Class names and ids that can only mean boilerplate: these words alone, or the first ones before one of the second.
+SURE_NAMES = set("comment comments commentlist disqus respond replies sidebar ad ads advert adverts advertisement sponsored".split())
+SURE_STARTS = set("comment comments disqus sidebar ad ads advert adverts advertisement".split())
+SURE_ENDS = set(
+    "area block body box column container content form inner left list primary respond right secondary section slot thread top unit widget wrap wrapper".split())
 HEAD_NAMES = {"header", "masthead", "topbar", "branding"}
 MAIN = {"article", "main"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -56,7 +63,8 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.dead, self.inside = ["#root"], [-1], [False], [False]
-        self.named, self.main, self.article = [False], [False], [False]  # boilerplate by name, if not the bulk
+        # Boilerplate by name, for sure or unless it wraps the page; parts of the page's own articles; in an article.
+        self.sure, self.named, self.main, self.article = [False], [False], [False], [False]
         self.stack, self.open = [0], Counter()
         self.parts: list[str] = []
         self.links, self.link_parts = 0, 0
@@ -83,10 +91,12 @@ class _Page(HTMLParser):
         within = self.inside[parent] or tag in MAIN
         self.inside.append(within)
         self.dead.append(self.dead[parent] or self.is_furniture(tag, attrs, self.inside[parent]))
+        sure = self.sure[parent] or self.has_sure_name(tag, attrs)
         named = self.has_name(tag, attrs, self.inside[parent], self.article[parent])
+        self.sure.append(sure)
         self.named.append(named and tag not in ROOTS)
         # A comment may be an article; it does not count as one of the page's.
-        self.main.append(not named if tag in MAIN else self.main[parent])
+        self.main.append(not (named or sure) if tag in MAIN else self.main[parent])
         self.article.append(self.article[parent] or tag == "article")
         self.stack.append(len(self.tags) - 1)
         self.open[tag] += 1
@@ -99,6 +109,16 @@ class _Page(HTMLParser):
         given = dict(attrs)
         return "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or (given.get("role") or "").lower() in ROLES
 
+    def has_sure_name(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("html", "body") or tag in HEADING or tag in INLINE and (self.open["pre"] or self.open["code"]):
+            return False
+        given = dict(attrs)
+        for token in (given.get("class") or "").lower().split() + (given.get("id") or "").lower().split():
+            words = [word for word in NAME_PARTS.split(token) if word]
+            if words[:1] == [token] and token in SURE_NAMES or len(words) > 1 and words[0] in SURE_STARTS and words[-1] in SURE_ENDS:
+                return True
+        return False
+
     def has_name(self, tag: str, attrs: list[tuple[str, str | None]], in_main: bool, in_article: bool) -> bool:
         given = dict(attrs)
         tokens = (given.get("class") or "").lower().split()
@@ -149,9 +169,9 @@ class _Page(HTMLParser):
         if self.parts:
             text = SPACES.sub(" ", "".join(self.parts)).strip(" ")
             node = self.stack[-1]
-            while self.tags[node] in INLINE and not self.dead[node] and not self.named[node]:
+            while self.tags[node] in INLINE and not (self.dead[node] or self.sure[node] or self.named[node]):
                 node = self.parents[node]
-            if text and not self.dead[node]:
+            if text and not (self.dead[node] or self.sure[node]):
                 self.blocks.append((node, text, self.link_parts))
             self.parts, self.link_parts = [], 0
 
@@ -162,19 +182,15 @@ class _Page(HTMLParser):
             self.drop_named()
 
     def drop_named(self) -> None:
-        """Leave out the blocks of parts that are boilerplate by name and not the bulk of the text."""
-        points, in_main = [0.0] * len(self.tags), [0.0] * len(self.tags)
-        for node, text, link_chars in self.blocks:
-            value = _value(text) * (1 - min(1, link_chars / len(text)))
-            points[node] += value
-            in_main[node] += value * self.main[node]
+        """Leave out the blocks of parts that are boilerplate by name and do not wrap the page."""
+        wraps = [False] * len(self.tags)
         for node in range(len(self.tags) - 1, 0, -1):  # parents come before their children
-            points[self.parents[node]] += points[node]
-            in_main[self.parents[node]] += in_main[node]
-        counted = in_main if in_main[0] else points
+            own = self.tags[node] in MAIN and self.main[node] or self.tags[node] == "h1"
+            if (own or wraps[node]) and not (self.sure[node] or self.dead[node]):
+                wraps[self.parents[node]] = True
         gone = [False] * len(self.tags)
         for node in range(1, len(self.tags)):
-            gone[node] = gone[self.parents[node]] or self.named[node] and 2 * counted[node] <= counted[0]
+            gone[node] = gone[self.parents[node]] or self.named[node] and not wraps[node]
         kept = []
         for node, text, link_chars in self.blocks:
             if not gone[node]:
