@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from setlist.catalog import catalog_from_frames
 from setlist.operators import genres, relations, sinks, stats, timeline
 from setlist.plans import pages
 from setlist.schema import CONTINUOUS_FEATURES, TABLES
+from setlist.sources import tables
 from setlist.sources.tables import read_catalog, sql_frame
 
 
@@ -193,3 +195,58 @@ def test_json_positions_do_not_depend_on_the_array_length(tiny):
         parts = timeline.timeline_json_arrays(flat, length=length).collect()
         return sorted((r["playlist_id"], r["first_position"] + i) for r in parts for i in range(len(json.loads(r["records"]))))
     assert positions(1) == positions(2) == positions(10_000)
+
+
+def test_sql_with_parameters_leaves_no_views(spark, bound):
+    text = "select count(*) as n from playlist where date >= :since and description = :kind"
+    got = tables.sql_frame(spark, bound, text, "playlist", args={"since": datetime.date(1996, 1, 1), "kind": "2-HIGH"})
+    want = bound.playlist.where("date >= date'1996-01-01' and description = '2-HIGH'").count()
+    assert got.first()["n"] == want > 0
+    assert not spark.catalog.tableExists("playlist")
+    with pytest.raises(Exception):
+        tables.sql_frame(spark, bound, "select nothing from playlist", "playlist")
+    assert not spark.catalog.tableExists("playlist")  # also after a text that fails
+    spark.range(1).createOrReplaceTempView("playlist")
+    try:
+        with pytest.raises(ValueError, match="named playlist"):
+            tables.sql_frame(spark, bound, text, "playlist")
+        assert spark.table("playlist").columns == ["id"]
+    finally:
+        spark.catalog.dropTempView("playlist")
+
+
+def test_runs_are_the_repeated_text(spark, bound):
+    runs = relations.playlist_as_df_runs(bound).collect()
+    texts = {}
+    for r in sorted(runs, key=lambda r: (r["name"], r["artist_id"])):
+        texts.setdefault(r["name"], []).extend([r["artist"]] * r["times"])
+    got = relations.playlist_as_df(bound, ["valence"], distinct_artists=False).collect()
+    assert {r["name"]: r["artist"] for r in got} == {name: ";".join(names) for name, names in texts.items()}
+
+
+def test_link_rows_of_tracks_without_artist_or_album(spark):
+    c = catalog_from_frames(
+        spark,
+        track=spark.createDataFrame([(1, "a", "A", 1, True, 1, "i", "u", "", None), (2, "b", "B", 1, True, 1, "i", "v", "p", 5)], TABLES["track"]),
+        artist=spark.createDataFrame([(8, "X", "x", "u", None, 1, 10), (7, "Y", "y", "u", None, None, 2000)], TABLES["artist"]),
+        track_artist=spark.createDataFrame([(2, 8), (2, 7)], TABLES["track_artist"]),
+        genre=spark.createDataFrame([(1, "rock")], TABLES["genre"]),
+        artist_genre=spark.createDataFrame([(7, 1), (8, 1)], TABLES["artist_genre"]),
+    )
+    got = rows(pages.track_links(c), "track_id", "preview_url", "has_preview", "has_album", "place", "artist_spotify_id")
+    assert got == sorted([(1, "", False, False, None, None), (2, "p", True, True, 0, "y"), (2, "p", True, True, 1, "x")], key=repr)
+    for column, down, order in (("followers", True, ["Y", "X"]), ("followers", False, ["X", "Y"]), ("popularity", False, ["X", "Y"]), ("name", True, ["Y", "X"])):
+        assert [r["name"] for r in pages.sorted_genre_artists(c, column, down).collect()] == order
+    with pytest.raises(ValueError):
+        pages.sorted_genre_artists(c, "other_genres")
+
+
+def test_page_of_a_date_without_playlists(spark, bound):
+    asked = spark.createDataFrame([("1996-06-06",), ("1900-1-1",), ("nonsense",), (None,)], "date_str string")
+    got = {r["date_str"]: r["status"] for r in pages.playlist_page(bound, asked).select("date_str", "status").distinct().collect()}
+    assert got["1900-1-1"] == "not found" and got["nonsense"] == "invalid" and got[None] == "invalid"
+
+
+def test_json_records_write_nulls(spark):
+    df = spark.createDataFrame([(1, None, 0.5, "é\"")], "k int, a int, b double, c string")
+    assert timeline.record_json(df, "k").first()["record"] == '{"a":null,"b":0.5,"c":"é\\""}'
