@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,20 @@ def new_track_artists(track_artist: DataFrame, rows: DataFrame, track: DataFrame
     return missing_rows(track_artist, with_artist_ids(with_track_ids(named, track, "track_key"), artist, "artist_key"))
 
 
+def new_track_places(
+    track_artist: DataFrame, links: DataFrame, rows: DataFrame, track: DataFrame, artist: DataFrame
+) -> DataFrame:
+    """Places of new links (rows of `links`): after the track's links so far, in the order the payloads first name the artists."""
+    at = F.struct("load_order", "pos")
+    named = rows.select(F.col("spotify_id").alias("track_key"), "load_order", F.posexplode("artists.id").alias("pos", "artist_key"))
+    first = named.groupBy("track_key", "artist_key").agg(F.min(at).alias("at"))
+    placed = with_artist_ids(with_track_ids(first, track, "track_key"), artist, "artist_key").join(links, ["track_id", "artist_id"], "left_semi")
+    so_far = track_artist.join(links.select("track_id").distinct(), "track_id", "left_semi").groupBy("track_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("track_id").orderBy("at", "artist_id")) - 1
+    return placed.join(so_far, "track_id", "left").select(
+        "track_id", "artist_id", (F.coalesce("n", F.lit(0)) + rank).cast("bigint").alias("place"))
+
+
 def append_track_artists(track_artist: DataFrame, rows: DataFrame, track: DataFrame, artist: DataFrame) -> DataFrame:
     return track_artist.unionByName(new_track_artists(track_artist, rows, track, artist))
 
@@ -314,11 +328,14 @@ def changes(catalog: Catalog, landed: Landed, stage: Stage = lambda name, df: df
         hold=folded("artist"), changed_only=True,
     )), "artist_id")
 
+    links = stage("track_artist", new_track_artists(catalog.track_artist, tracks, track.rows, artist.rows))
+    places = stage("track_artist_place", new_track_places(catalog.track_artist, links, tracks, track.rows, artist.rows))
+
     mentions = stage("genre_mentions", genre_mentions(details))
     genre = Change(stage("genre", new_genres(catalog.genre, mentions)))
     found = {
         "playlist": playlist, "track": track, "playlist_track": played, "album": album, "artist": artist, "genre": genre,
-        "track_artist": Change(stage("track_artist", new_track_artists(catalog.track_artist, tracks, track.rows, artist.rows))),
+        "track_artist": Change(links), "track_artist_place": Change(places),
         "album_artist": Change(stage("album_artist", new_album_artists(catalog.album_artist, albums, album.rows, artist.rows))),
         "artist_genre": Change(stage("artist_genre", new_artist_genres(
             catalog.artist_genre, mentions, artist.rows, genre.applied(catalog.genre)))),

@@ -10,6 +10,9 @@ from setlist.functions import labels as L
 from setlist.operators.groups import join_keeping_left, joined_text, ordered_values, position_block, positions, positions_without
 from setlist.schema import FEATURE_COLUMNS, TABLES
 
+# Added to places, so that they come after all ids.
+PLACED = 1 << 62
+
 
 def one_features_row(c: Catalog) -> DataFrame:
     """Audio features, at most one row per track: the one with the lowest id."""
@@ -18,10 +21,19 @@ def one_features_row(c: Catalog) -> DataFrame:
     return first.select("track_id", "f.*")
 
 
+def placed_artists(c: Catalog) -> DataFrame:
+    """`track_artist` with `link_order`, a number that puts a track's artists in order, unique in a track.
+
+    Links that a load gave a place come in the order of their places, after those without one, which go by id.
+    """
+    placed = c.track_artist.join(c.track_artist_place, ["track_id", "artist_id"], "left")
+    return placed.select("track_id", "artist_id", F.coalesce(F.col("place") + F.lit(PLACED), "artist_id").alias("link_order"))
+
+
 def track_artist_names(c: Catalog, separator: str = ", ") -> DataFrame:
-    """`track_id` and the names of its artists in one text."""
-    named = c.track_artist.join(c.artist.select("artist_id", "name"), "artist_id")
-    names = ordered_values(named, "names", ["track_id"], "artist_id", F.col("name"))
+    """`track_id` and the names of its artists in one text, in the order they were linked."""
+    named = placed_artists(c).join(c.artist.select("artist_id", "name"), "artist_id")
+    names = ordered_values(named, "names", ["track_id"], "link_order", F.col("name"))
     return names.select("track_id", F.array_join("names", separator).alias("artists"))
 
 

@@ -234,6 +234,11 @@ _BODIES: dict[str, str] = {
           {_SONG_COLUMNS.replace('t.track_id, ', '')}, case when not t.explicit then t.album_id end as album_id
         from track t left join ({_numbered("select spotify_id from track where explicit", "spotify_id")}) k on k.spotify_id = t.spotify_id""",
     "append_track_artist_links": "select track_id, artist_id from track_artist",
+    "ordered_track_artists": """
+        with links as (select ta.track_id, a.artist_id, a.name, not t.explicit and a.popularity >= 50 as early
+                       from track_artist ta join track t on t.track_id = ta.track_id join artist a on a.artist_id = ta.artist_id)
+        select track_id, string_agg(name, ', ' order by not early, case when early then artist_id else -artist_id end) as artists
+        from links group by track_id""",
     "merge_artists": f"""
         select case when a.popularity >= 50 then a.artist_id else (select max(artist_id) from artist where popularity >= 50) + k.n end as artist_id,
           a.name, a.spotify_id, a.spotify_url, a.images,

@@ -9,7 +9,7 @@ from setlist.catalog import Catalog
 from setlist.functions import images as I
 from setlist.functions import labels as L
 from setlist.operators.groups import join_keeping_left, ordered_values
-from setlist.operators.relations import one_features_row, track_artist_names
+from setlist.operators.relations import one_features_row, placed_artists, track_artist_names
 from setlist.schema import CONTINUOUS_FEATURES
 
 PORTRAIT, THUMBNAIL = 640, 300
@@ -47,13 +47,13 @@ def track_cells(c: Catalog, separator: str = ", ") -> DataFrame:
 def track_links(c: Catalog) -> DataFrame:
     """What a row of the track table links to: the track, its preview and each of its artists; one row per artist.
 
-    Tracks without an artist have one row. `place` numbers a track's artists from 0 in id order.
+    Tracks without an artist have one row. `place` numbers a track's artists from 0 in the order they were linked.
     """
     tracks = c.track.select(
         "track_id", "spotify_id", "spotify_url", "preview_url", L.filled(F.col("preview_url")).alias("has_preview"),
         F.col("album_id").isNotNull().alias("has_album"))
-    people = c.track_artist.join(c.artist.select("artist_id", F.col("spotify_id").alias("id"), "name"), "artist_id")
-    listed = ordered_values(people, "links", ["track_id"], "artist_id", F.struct("id", "name"))
+    people = placed_artists(c).join(c.artist.select("artist_id", F.col("spotify_id").alias("id"), "name"), "artist_id")
+    listed = ordered_values(people, "links", ["track_id"], "link_order", F.struct("id", "name"))
     linked = tracks.join(listed, "track_id", "left").select(*tracks.columns, F.posexplode_outer("links").alias("place", "a"))
     return linked.select(*tracks.columns, "place", F.col("a.id").alias("artist_spotify_id"), F.col("a.name").alias("artist"))
 

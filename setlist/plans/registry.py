@@ -176,6 +176,19 @@ def append_track_artist_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.append_track_artists(_before(c).track_artist, _track_rows(spark, c, sf_dir), c.track, c.artist)
 
 
+@raw_query
+def ordered_track_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artists of each track after payloads that name them in reverse: earlier links first, new ones as the payload has them."""
+    c, before = bound_catalog(spark, sf_dir), _before(bound_catalog(spark, sf_dir))
+    stage = written_stage(spark)
+    items = stage("items", payloads.track_page_items(landed.track_pages(c, landed.album_keys(_parts(spark, sf_dir)), versions=True)))
+    tracks = payloads.track_columns(items)
+    links = stage("links", ingest.new_track_artists(before.track_artist, tracks, c.track, c.artist))
+    places = stage("places", ingest.new_track_places(before.track_artist, links, tracks, c.track, c.artist))
+    after = c.with_tables(track_artist=before.track_artist.unionByName(links), track_artist_place=places)
+    return relations.track_artist_names(after)
+
+
 @raw_query
 def merge_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound_catalog(spark, sf_dir)

@@ -41,6 +41,8 @@ TABLES: dict[str, T.StructType] = {
         album_id=LONG, spotify_id=STRING, spotify_url=STRING, name=STRING, label=STRING, images=IMAGES, popularity=LONG
     ),
     "track_artist": fields(track_id=LONG, artist_id=LONG),
+    # The order in which a load linked the artists of a track; links without a row here stand before them, by id.
+    "track_artist_place": fields(track_id=LONG, artist_id=LONG, place=LONG),
     "artist_genre": fields(artist_id=LONG, genre_id=LONG),
     "album_artist": fields(album_id=LONG, artist_id=LONG),
     "album_track": fields(album_id=LONG, track_id=LONG),

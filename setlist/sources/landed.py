@@ -90,14 +90,14 @@ def track_payloads(c: Catalog, album_of: DataFrame) -> DataFrame:
 
 
 def track_pages(c: Catalog, album_of: DataFrame, playlists: DataFrame | None = None, versions: bool = False) -> DataFrame:
-    """Track pages of all (or the given) playlists; with `versions` a track has another name on each place."""
+    """Track pages of all (or the given) playlists; with `versions` a track has another name on each place, and its artists in reverse."""
     plays = c.playlist_track
     if playlists is not None:
         plays = plays.join(playlists.select("playlist_id"), "playlist_id", "left_semi")
     placed = plays.withColumn("page_no", F.floor(F.col("sequence") / PAGE_SIZE)).join(track_objects(c, album_of), "track_id")
     if versions:
         named = F.concat("track.name", F.lit(" @"), F.col("sequence").cast("string"))
-        placed = placed.withColumn("track", F.col("track").withField("name", named))
+        placed = placed.withColumn("track", F.col("track").withField("name", named).withField("artists", F.reverse("track.artists")))
     pages = ordered_values(placed, "items", ["playlist_id", "page_no"], "sequence", F.struct("track"))
     return pages.select(
         F.concat(F.lit("pl"), F.col("playlist_id").cast("string")).alias("playlist_key"), "page_no",
