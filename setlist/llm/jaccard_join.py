@@ -257,7 +257,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = 2,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = 4,
     max_filter_bits: int = 1 << 31,
 ) -> DataFrame:
     """One row per row of docs: row_id, doc_id, n_shingles, component_id, first_row (the row that stands for the component)."""
@@ -265,7 +265,7 @@ def near_duplicates(
     return _components(texts, size, percent, rounds, max_filter_bits)
 
 
-def _components(texts: DataFrame, size: int, percent: int, rounds: int = 2, max_filter_bits: int = 1 << 31) -> DataFrame:
+def _components(texts: DataFrame, size: int, percent: int, rounds: int = 4, max_filter_bits: int = 1 << 31) -> DataFrame:
     """`near_duplicates` of a written table of row_id, doc_id and text."""
     sketched = written(_sketches(texts, _sum_counts(texts, size), size, percent), "jaccard-sketches")
 
