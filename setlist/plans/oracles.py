@@ -531,6 +531,19 @@ _BODIES: dict[str, str] = {
           pt.sequence, c.*
         from asked a left join playlist p on p.date = a.date left join playlist_track pt on pt.playlist_id = p.playlist_id
         left join cells c on c.track_id = pt.track_id""",
+    "playlist_page_rows": """
+        with asked as (
+          select distinct year(l_shipdate) || '-' || month(l_shipdate) || '-' || day(l_shipdate) as date_str, cast(l_shipdate as date) as date from lineitem
+          union select o_orderpriority, null from orders),
+        people as (
+          select ta.track_id, string_agg(a.spotify_id || '=' || a.name, '|' order by a.artist_id) as artist_links
+          from track_artist ta join artist a on a.artist_id = ta.artist_id group by ta.track_id)
+        select a.date_str, case when a.date is null then 'invalid' when p.playlist_id is null then 'not found' else 'ok' end as status,
+          p.playlist_id, pt.sequence, c.track_id, t.spotify_id as track_spotify_id, t.preview_url, c.has_preview, c.artists,
+          case when c.track_id is not null then coalesce(l.artist_links, '') end as artist_links
+        from asked a left join playlist p on p.date = a.date left join playlist_track pt on pt.playlist_id = p.playlist_id
+        left join cells c on c.track_id = pt.track_id left join track t on t.track_id = c.track_id
+        left join people l on l.track_id = c.track_id""",
     "sorted_tracks": "select * from cells order by energy desc nulls last, track_id",
     "artist_page": """
         select a.artist_id, a.spotify_id, a.name, case when s.s_nationkey < 10 then 'http://img/ar/' || a.artist_id || '/b' end as image_url,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from setlist.catalog import Catalog
 from setlist.functions import images as I
 from setlist.functions import labels as L
-from setlist.operators.groups import join_keeping_left, ordered_values
+from setlist.operators.groups import ordered_values
 from setlist.operators.relations import one_features_row, placed_artists, track_artist_names
 from setlist.schema import CONTINUOUS_FEATURES
 
@@ -30,14 +30,21 @@ def playlist_index(c: Catalog) -> DataFrame:
 
 def track_cells(c: Catalog, separator: str = ", ") -> DataFrame:
     """The cells of the track table, one row per track."""
+    cells = _cells(c, track_artist_names(c, separator))
+    return cells.withColumn("artists", F.coalesce("artists", F.lit("")))
+
+
+def _cells(c: Catalog, artists: DataFrame) -> DataFrame:
+    """The cells of the track table with the columns of `artists`, a frame by track."""
     features = one_features_row(c).select(
         "track_id", F.col("key").alias("_key"), F.col("mode").alias("_mode"), "tempo", "time_signature", *CONTINUOUS_FEATURES
     )
+    tracks = c.track.select("track_id", "spotify_url", F.col("name").alias("track"), "popularity", L.filled(F.col("preview_url")).alias("has_preview"))
+    theirs = [name for name in artists.columns if name != "track_id"]
     return (
-        c.track.join(features, "track_id", "left").join(track_artist_names(c, separator), "track_id", "left")
+        tracks.join(features, "track_id", "left").join(artists, "track_id", "left")
         .select(
-            "track_id", L.filled(F.col("preview_url")).alias("has_preview"), "spotify_url",
-            F.coalesce("artists", F.lit("")).alias("artists"), F.col("name").alias("track"), "popularity",
+            "track_id", "has_preview", "spotify_url", *theirs, "track", "popularity",
             *CONTINUOUS_FEATURES,
             L.key_mode_label(F.col("_key"), F.col("_mode")).alias("key"), "tempo", "time_signature",
         )
@@ -87,20 +94,43 @@ def playlist_page(c: Catalog, requests: DataFrame, ordered: bool = True) -> Data
     of everything; `sequence` still gives the order on each page.
     """
     asked = requests.select("date_str", L.path_date(F.col("date_str")).alias("date")).distinct()
+    page = _page_rows(c, asked, track_cells(c))
+    return page.orderBy("date", "playlist_id", "sequence") if ordered else page
+
+
+def playlist_page_rows(c: Catalog, requests: DataFrame, ordered: bool = True) -> DataFrame:
+    """As `playlist_page`, with what a row links to: the track's own id, its preview and its artists.
+
+    `links` is an array of (id, name), in the order the artists were linked; empty without artists,
+    null in the one row of a date or playlist without tracks.
+    """
+    asked = requests.select("date_str", L.path_date(F.col("date_str")).alias("date")).distinct()
+    people = placed_artists(c).join(c.artist.select("artist_id", F.col("spotify_id").alias("id"), "name"), "artist_id")
+    listed = ordered_values(people, "links", ["track_id"], "link_order", F.struct("id", "name"))
+    own = c.track.select("track_id", F.col("spotify_id").alias("track_spotify_id"), "preview_url")
+    linked = own.join(listed, "track_id", "left").withColumn("links", F.coalesce("links", F.array().cast(listed.schema["links"].dataType)))
+    cells = _cells(c, linked).withColumn("artists", F.array_join("links.name", ", "))
+    page = _page_rows(c, asked, cells)
+    return page.orderBy("date", "playlist_id", "sequence") if ordered else page
+
+
+def _page_rows(c: Catalog, asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """Played tracks of the asked dates' playlists, and one row for each date or playlist without any.
+
+    The three kinds of rows are inner joins and anti joins on keys only, so that neither a date with
+    very many playlists nor a long playlist is the side of an outer join that cannot be split.
+    """
     lists = c.playlist.select(
         "date", "playlist_id", F.col("name").alias("playlist_name"), I.first_image(F.col("images")).alias("image_url"),
         F.col("spotify_url").alias("playlist_url"), F.col("description"), L.filled(F.col("description")).alias("has_description"),
     )
-    # Inner and partnerless part apart, so that a date with very many playlists is split.
-    found = join_keeping_left(asked, lists, "date").withColumn(
-        "status",
-        F.when(F.col("date").isNull(), "invalid").when(F.col("playlist_id").isNull(), "not found").otherwise("ok"),
-    )
-    wanted = found.select("playlist_id").dropna().distinct()
-    plays = c.playlist_track.join(wanted, "playlist_id", "left_semi")
-    with_tracks = plays.join(c.track.select("track_id"), "track_id", "left_semi")
-    page = join_keeping_left(found, plays.join(track_cells(c), "track_id"), "playlist_id", with_tracks)
-    return page.orderBy("date", "playlist_id", "sequence") if ordered else page
+    found = asked.join(lists, "date").withColumn("status", F.lit("ok"))
+    played = found.join(c.playlist_track, "playlist_id").join(cells, "track_id")
+    with_tracks = c.playlist_track.join(c.track.select("track_id"), "track_id", "left_semi").select("playlist_id").distinct()
+    silent = found.join(with_tracks, "playlist_id", "left_anti")
+    status = F.when(F.col("date").isNull(), "invalid").otherwise("not found")
+    lost = asked.join(lists.select("date").distinct(), "date", "left_anti").withColumn("status", status)
+    return played.unionByName(silent, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
 
 
 def artist_page(c: Catalog, spotify_ids: DataFrame | None = None) -> DataFrame:

@@ -604,6 +604,16 @@ def playlist_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.playlist_page(bound_catalog(spark, sf_dir), _dates_asked(spark, sf_dir), ordered=False)
 
 
+@raw_query
+def playlist_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page with all links; a row's artists as text, so that SQL can give them."""
+    page = pages.playlist_page_rows(bound_catalog(spark, sf_dir), _dates_asked(spark, sf_dir), ordered=False)
+    people = F.transform("links", lambda a: F.concat(a["id"], F.lit("="), a["name"]))
+    return page.select(
+        "date_str", "status", "playlist_id", "sequence", "track_id", "track_spotify_id", "preview_url", "has_preview", "artists",
+        F.array_join(people, "|").alias("artist_links"))
+
+
 @query
 def artist_page_tracks(c: Catalog) -> DataFrame:
     return pages.artist_page_tracks(c, ordered=False)
