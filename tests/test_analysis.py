@@ -126,6 +126,37 @@ def test_playlist_page(spark, tiny):
     ], key=repr)
 
 
+def test_playlist_page_rows(spark, tiny):
+    asked = spark.createDataFrame([("2020-1-2",), ("2020-1-3",)], "date_str string")
+    page = pages.playlist_page_rows(tiny, asked)
+    got = {(r["playlist_id"], r["sequence"]): (r["track_spotify_id"], r["preview_url"], r["links"], r["artists"]) for r in page.collect()}
+    assert got == {
+        (1, 0): ("t10", "pv", [("a1", "A"), ("a2", "A")], "A, A"), (1, 1): ("t11", "", [("a3", None)], ""),
+        (1, 2): ("t10", "pv", [("a1", "A"), ("a2", "A")], "A, A"), (2, 0): ("t12", None, [("a2", "A")], "A"),
+        (None, None): (None, None, None, None),
+    }
+    alone = tiny.with_tables(track_artist=tiny.track_artist.limit(0), playlist_track=tiny.playlist_track.where("playlist_id = 1"))
+    got = {(r["playlist_id"], r["sequence"]): (r["status"], r["links"], r["artists"]) for r in pages.playlist_page_rows(alone, asked).collect()}
+    assert got == {(1, 0): ("ok", [], ""), (1, 1): ("ok", [], ""), (1, 2): ("ok", [], ""), (2, None): ("ok", None, None), (None, None): ("not found", None, None)}
+
+
+def _final_plan(df):
+    """The plan as it was run, without the one that was planned first."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_timeline_reads_the_plays_once(bound):
+    plan = _final_plan(timeline.timeline(bound).select("playlist_id", "sequence", "track_id", "duration_ms", "start_time_ms"))
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_page_reads_the_plays_twice(spark, bound):
+    # rows and keys of the plays, and the links of tracks and artists
+    asked = spark.createDataFrame([("1996-06-06",)], "date_str string")
+    assert _final_plan(pages.playlist_page_rows(bound, asked)).count("lineitem.parquet") <= 3
+
+
 def test_artist_page(spark, tiny):
     one = spark.createDataFrame([("a1",)], "spotify_id string")
     head = pages.artist_page(tiny, one).collect()
