@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from helpers import SF, rows
-from setlist.operators import ingest, relations, timeline
+from setlist.operators import groups, ingest, relations, search, timeline
 from setlist.operators.index import StoredIndex
 from setlist.plans.registry import QUERIES
 from setlist.sources import landed, payloads
@@ -104,3 +104,20 @@ def test_words_of_one_token_make_no_places(spark, tmp_path):
     assert rows(found) == [("q1", 1), ("q1", 2), ("q1", 3), ("q2", 1), ("q2", 2), ("q3", 1), ("q3", 2), ("q3", 3), ("q3", 4), ("q4", 1), ("q4", 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "(n_tokens" in plan and plan.count("= 1)") >= 1
+
+
+def test_repeated_texts_are_written_out_last(bound):
+    plan = _plan(relations.playlist_as_df(bound, "af.key", distinct_artists=False)).replace("== Initial Plan ==", "")
+    lines = plan.split("\n")
+    made = [i for i, line in enumerate(lines) if "repeat(" in line]
+    first = next(i for i, line in enumerate(lines) if "Join" in line or "Exchange" in line)
+    assert made and max(made) < first
+    plan = _plan(search.track_artist_concat(bound, distinct_artists=False))
+    below = [line for at in [plan.find("Exchange")] for line in plan[at:].split("\n")]
+    assert not any("repeat(" in line for line in below)
+
+
+def test_repeated_text_of_runs(spark):
+    runs = spark.createDataFrame([(1, 10, "a", 2), (1, 3, "b", 1), (1, 7, None, 4), (1, 4, "", 2), (2, 1, None, 1)], "k int, id long, name string, times long")
+    got = groups.ordered_values(runs, "r", ["k"], "id", groups.repeated_value(F.col("name"), F.col("times")))
+    assert rows(got.select("k", groups.repeated_text(F.col("r"), ";").alias("text"))) == [(1, "b;;;a;a"), (2, None)]
