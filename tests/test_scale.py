@@ -8,6 +8,7 @@ from helpers import SF, rows
 from setlist.operators import groups, ingest, relations, search, timeline
 from setlist.operators.index import StoredIndex
 from setlist.plans.registry import QUERIES
+from setlist.session import tune
 from setlist.sources import landed, payloads
 from setlist.sources.binding import driver_table
 
@@ -121,3 +122,10 @@ def test_repeated_text_of_runs(spark):
     runs = spark.createDataFrame([(1, 10, "a", 2), (1, 3, "b", 1), (1, 7, None, 4), (1, 4, "", 2), (2, 1, None, 1)], "k int, id long, name string, times long")
     got = groups.ordered_values(runs, "r", ["k"], "id", groups.repeated_value(F.col("name"), F.col("times")))
     assert rows(got.select("k", groups.repeated_text(F.col("r"), ";").alias("text"))) == [(1, "b;;;a;a"), (2, None)]
+
+
+def test_merged_partitions_stay_small(spark):
+    key, fresh = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.newSession()
+    assert tune(fresh).conf.get(key) == "16m"
+    fresh.conf.set(key, "8m")
+    assert tune(fresh).conf.get(key) == "8m"
