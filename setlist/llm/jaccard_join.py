@@ -67,7 +67,8 @@ CELLS = 1 << 20  # of the table of shingle counts
 CHUNK = 4096  # cells of one row of that table
 BAND = 16
 PIECE = 4_000_000  # bytes of text hashed at once
-SHORT = 64  # words of the sketch that members of a key carry
+SHORT = 64  # words of the sketch that members of a key carry if their set is large
+FOLDED = 16  # words of the folded sketch that all members of a key carry
 
 
 def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -154,7 +155,7 @@ def sketch_keys(shingles: np.ndarray, commonness: np.ndarray, percent: int) -> t
     for band in sorted(_bands(n, percent)):
         width = U64(BAND ** (band + 1))
         slot = mix(shingles ^ U64(0x5851F42D4C957F2D)) % width
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot)  # the order inside a word does not matter
         ordered = slot[order]
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         word = np.bitwise_xor.reduceat(mix(shingles[order]), first)
@@ -182,18 +183,27 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded_bits(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch at FOLDED words, whatever the set's size: its Hamming distance is a lower bound as well."""
+    place = mix(shingles + U64(0x6A09E667F3BCC909)) & U64(FOLDED * 64 - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=FOLDED * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def short_bits(bits: np.ndarray) -> np.ndarray | None:
-    """The sketch folded to SHORT words, none if it is no wider: its Hamming distance is a lower bound as well."""
-    return np.bitwise_xor.reduce(bits.reshape(-1, SHORT), axis=0) if len(bits) > SHORT else None
+    """The sketch folded to SHORT words at most, none if FOLDED words hold it."""
+    if len(bits) <= FOLDED:
+        return None
+    return np.bitwise_xor.reduce(bits.reshape(-1, SHORT), axis=0) if len(bits) > SHORT else bits
 
 
 def _sketches(docs: DataFrame, commonness: np.ndarray, size: int, percent: int) -> DataFrame:
-    """row_id, doc_id, n_shingles, set hashes h1 and h2, keys, before (odd words before each key), bits (the parity sketch), short (if it is long, its folded form)."""
+    """row_id, doc_id, n_shingles, set hashes h1 and h2, keys, before (odd words before each key), bits (the parity sketch), folded (at a fixed width), short (if it is wider, its form of SHORT words at most)."""
     shared = docs.sparkSession.sparkContext.broadcast(commonness)  # one byte per cell
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, keys, before, bits, short = [], [], [], [], [], [], []
+            n, h1, h2, keys, before, bits, folded, short = [], [], [], [], [], [], [], []
             for _, s in _sets(_bytes(batch.column("text")), size):
                 n.append(len(s))
                 h1.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
@@ -202,16 +212,17 @@ def _sketches(docs: DataFrame, commonness: np.ndarray, size: int, percent: int)
                 keys.append(key.view(np.int64))
                 before.append(odd.astype(np.int32))
                 bits.append(parity_bits(s))
+                folded.append(folded_bits(s))
                 short.append(short_bits(bits[-1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(before, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64())),
-                 pa.array(short, pa.list_(pa.int64()))],
-                ["row_id", "doc_id", "n_shingles", "h1", "h2", "keys", "before", "bits", "short"])
+                 pa.array(folded, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))],
+                ["row_id", "doc_id", "n_shingles", "h1", "h2", "keys", "before", "bits", "folded", "short"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("row_id", "doc_id", "text").mapInArrow(
-        sketch, f"row_id long, doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, before array<int>, bits array<long>, short array<long>")
+        sketch, f"row_id long, doc_id {id_type}, n_shingles long, h1 long, h2 long, keys array<long>, before array<int>, bits array<long>, folded array<long>, short array<long>")
 
 
 def _close(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
@@ -233,6 +244,12 @@ def _near(x: str, y: str, n: str, m: str, percent: int) -> Column:
     return (F.greatest(F.size(x), F.size(y)) <= narrow * 2) & (differ * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
 
 
+def _near_folded(x: str, y: str, n: str, m: str, percent: int) -> Column:
+    """Whether two sketches of FOLDED words differ in no more bits than their sets' sizes allow: plain arithmetic, cheap for every pair."""
+    differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, FOLDED)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+    return differ * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, from the whole texts of the documents in question."""
     pairs = written(pairs, f"jaccard-pairs-{name}")
@@ -316,6 +333,8 @@ def _components(texts: DataFrame, size: int, percent: int, rounds: int = 4, max_
             break  # components and leaders stay as they are
         links = found if links is None else links.unionByName(found)
         merged = written(connected(links, "a", "b"), f"jaccard-components{number}")
+        # Components only grow: a key whose sets are all in one has no part in later rounds.
+        members = current.select("key", "rep", "n", "before").join(leaders.select("key"), "key", "left_semi")
         current = written(
             members.join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .select("key", "rep", "n", "before", F.coalesce("component", "rep").alias("comp")), f"jaccard-current{number}")
@@ -324,14 +343,15 @@ def _components(texts: DataFrame, size: int, percent: int, rounds: int = 4, max_
     open_keys = written(
         current.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(leads).alias("led"))
         .where("first < last and led").select("key"), "jaccard-open")
-    # Members carry their short sketch, so that a pair that cannot be linked is never made into a row.
-    short = sketched.select(F.col("row_id").alias("rep"), F.coalesce("short", "bits").alias("short"))
+    # Members carry their folded and, of large sets, short sketch, so that a pair that cannot be linked is never made into a row.
+    short = sketched.select(F.col("row_id").alias("rep"), "folded", "short")
     rest = written(current.join(open_keys, "key", "left_semi").withColumn("leads", leads).join(short, "rep"), "jaccard-left")
-    other = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("rep", "n", "before", "comp", "leads", "short")])
+    other = rest.select("key", *[F.col(c).alias(f"b{c}") for c in ("rep", "n", "before", "comp", "leads", "folded", "short")])
     pairs = (
         rest.where("leads").join(other, "key").where("comp <> bcomp and (rep < brep or not bleads)")
         .where(_may_reach("n", "bn", percent) & _may_start("n", "before", "bn", "bbefore", percent))
-        .where(_near("short", "bshort", "n", "bn", percent))
+        .where(_near_folded("folded", "bfolded", "n", "bn", percent))
+        .where(F.col("short").isNull() | F.col("bshort").isNull() | _near("short", "bshort", "n", "bn", percent))
         .select(F.least("rep", "brep").alias("a"), F.greatest("rep", "brep").alias("b")).distinct()
     )
     pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
