@@ -59,7 +59,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import bloom_segments, filter_bits, maybe_member, numbered, written
+from setlist.llm.common import bloom_segments, discard, filter_bits, maybe_member, numbered, written
 from setlist.llm.components import connected
 from setlist.llm.hashing import U64, mix, pieces, shingle_hashes, word_hashes
 
@@ -270,7 +270,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name:
     both = left.join(sets.select(F.col("row_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     linked = both.where(common * (100 + percent) >= (F.size("sa") + F.size("sb")).cast("long") * percent).select("a", "b")
-    return written(linked, f"jaccard-links-{name}")
+    links = written(linked, f"jaccard-links-{name}")
+    discard(pairs, segments, sets)
+    return links
 
 
 def near_duplicates(
@@ -303,6 +305,7 @@ def _components(texts: DataFrame, size: int, percent: int, rounds: int = 4, max_
     met = written(
         keyed.groupBy("key").agg(F.count("*").alias("members"), F.max(leads).alias("led")).where("members > 1 and led").select("key"), "jaccard-met")
     members = written(keyed.join(met, "key"), "jaccard-members")
+    discard(segments, keyed, met)
 
     n_members = members.count()
     links = tried = merged = None
@@ -334,10 +337,11 @@ def _components(texts: DataFrame, size: int, percent: int, rounds: int = 4, max_
         links = found if links is None else links.unionByName(found)
         merged = written(connected(links, "a", "b"), f"jaccard-components{number}")
         # Components only grow: a key whose sets are all in one has no part in later rounds.
-        members = current.select("key", "rep", "n", "before").join(leaders.select("key"), "key", "left_semi")
+        before, members = current, current.select("key", "rep", "n", "before").join(leaders.select("key"), "key", "left_semi")
         current = written(
             members.join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .select("key", "rep", "n", "before", F.coalesce("component", "rep").alias("comp")), f"jaccard-current{number}")
+        discard(before, leaders)
 
     # The rest: sets that share a key and are still in different components; one of each pair leads.
     open_keys = written(
