@@ -1,14 +1,16 @@
 """Plans and rows of the jobs that were reshaped for larger tables."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from helpers import SF, rows
 from setlist.operators import groups, ingest, relations, search, timeline
 from setlist.operators.index import StoredIndex
+from setlist.operators.sinks import Scratch
 from setlist.plans.registry import QUERIES
-from setlist.session import tune
+from setlist.session import CLEANUP_SETTING, tune
 from setlist.sources import landed, payloads
 from setlist.sources.binding import driver_table
 
@@ -80,6 +82,30 @@ def test_page_items_follow_in_the_partitions_of_their_pages(spark, bound):
     assert "REPARTITION_BY_COL" in exchange
 
 
+def test_parsed_pages_are_not_sorted(spark, bound):
+    pages = landed.track_pages(bound, landed.album_keys(driver_table(spark, SF, "part")))
+    below = _below(_plan(payloads.track_page_items(pages)), "Window [sum(n_items")
+    parsed = next(i for i, line in enumerate(below) if "from_json" in line)
+    assert not any("Sort [" in line for line in below[:parsed])
+
+
+def test_stages_of_a_load_leave_no_shuffle_files(spark, tmp_path):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for name in blocks.mkString(" ").split() if name.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(CLEANUP_SETTING, None)
+    kept = spark.range(1000).withColumn("key", F.col("id") % 10).repartition(3, "key")
+    out = Scratch(spark, str(tmp_path))("rows", kept)
+    for _ in range(50):  # Spark removes them in the background
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP_SETTING, None) == setting
+    assert out.count() == 1000
+
+
 def test_only_the_last_loads_mentions_count(spark):
     artist = "array<struct<id:string,name:string,external_urls:struct<spotify:string>>>"
     mention = lambda name: ("a1", name, ("u",))
