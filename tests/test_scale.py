@@ -144,6 +144,12 @@ def test_repeated_texts_are_written_out_last(bound):
     assert not any("repeat(" in line for line in below)
 
 
+def test_repeated_texts_are_spread_over_tasks(bound):
+    told = relations.playlist_as_df(bound, "af.key", distinct_artists=False).select("name", F.spark_partition_id().alias("task"))
+    tasks = [r["task"] for r in told.collect()]
+    assert len(tasks) > 20 and max(tasks.count(t) for t in tasks) <= 4
+
+
 def test_repeated_text_of_runs(spark):
     runs = spark.createDataFrame([(1, 10, "a", 2), (1, 3, "b", 1), (1, 7, None, 4), (1, 4, "", 2), (2, 1, None, 1)], "k int, id long, name string, times long")
     got = groups.ordered_values(runs, "r", ["k"], "id", groups.repeated_value(F.col("name"), F.col("times")))
