@@ -133,6 +133,19 @@ def test_words_of_one_token_make_no_places(spark, tmp_path):
     assert "(n_tokens" in plan and plan.count("= 1)") >= 1
 
 
+def test_postings_are_not_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red blue"), (2, "red-blue"), (3, "blue")], "track_id bigint, text string")
+    index = StoredIndex(spark, str(tmp_path / "index"), 2)
+    index.append(docs, "one", ("text",))
+    asked = spark.createDataFrame([("q1", "red blue"), ("q2", "red-blue")], "query_id string, query string")
+    found = index.search_many(asked)
+    lines = _plan(found).split("\n")
+    marks = [i for i, line in enumerate(lines) if "BroadcastExchange" in line]
+    assert sum("SortMergeJoin" in line for line in lines) >= 3
+    assert not any("track_id" in line for i in marks for line in _below("\n".join(lines[i:]), "BroadcastExchange"))
+    assert rows(found) == [("q1", 1), ("q1", 2), ("q2", 1), ("q2", 2)]
+
+
 def test_repeated_texts_are_written_out_last(bound):
     plan = _plan(relations.playlist_as_df(bound, "af.key", distinct_artists=False)).replace("== Initial Plan ==", "")
     lines = plan.split("\n")
